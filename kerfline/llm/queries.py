@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, mixing
+from kerfline.llm import exact_dedup, mixing, secret_scan
 from kerfline.llm.common import table
 
 
@@ -46,12 +46,45 @@ FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("found")
+    return found.select(
+        "doc_id", *(secret_scan.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.listed(secret_scan.base_only(spans)), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
+
+
+def _op3_sql() -> str:
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    quoted = [r.pattern.replace("'", "''") for r in rules]
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {n} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{q}', 0) AS whole, "
+        f"regexp_extract_all(text, '{q}', {r.group}) AS part, string_split_regex(text, '{q}') AS gap FROM d"
+        for n, (r, q) in enumerate(zip(rules, quoted, strict=True))
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+k AS ({kinds}),
+e AS (SELECT rid, rank, kind, least, generate_subscripts(whole, 1) AS i, unnest(whole) AS whole, unnest(part) AS part, unnest(gap[1:len(whole)]) AS gap FROM k),
+p AS (SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY rid, rank ORDER BY i) AS BIGINT) AS stop FROM e),
+s AS (SELECT rid, rank, kind, stop - length(whole) AS start, kind || ':' || (stop - length(whole)) || ':' || stop AS span FROM p WHERE length(part) >= least),
+a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op5_mixing": op5_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL}
