@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, mixing, secret_scan
+from kerfline.llm import exact_dedup, langid, mixing, secret_scan
 from kerfline.llm.common import table
 
 
@@ -46,6 +46,11 @@ FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("found")
@@ -81,6 +86,7 @@ FROM d LEFT JOIN a USING (rid)
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
         "op5_mixing": op5_mixing,
     }
