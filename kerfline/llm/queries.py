@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, mixing, secret_scan
+from kerfline.llm import exact_dedup, langid, mixing, packing, secret_scan, sentencepiece_fst
 from kerfline.llm.common import table
 
 
@@ -83,12 +83,22 @@ FROM d LEFT JOIN a USING (rid)
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
         "op5_mixing": op5_mixing,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_packing": op8_packing,
     }
 
 
