@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, mixing, near_dup, packing, secret_scan, sentencepiece_fst
+from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, secret_scan, sentencepiece_fst
 from kerfline.llm.common import table
 
 
@@ -91,6 +91,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -103,6 +107,7 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_packing": op8_packing,
+        "op9_line_dedup": op9_line_dedup,
         "op10_near_dup": op10_near_dup,
     }
 
