@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, secret_scan, sentencepiece_fst
+from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, secret_scan, sentencepiece_fst, topk
 from kerfline.llm.common import table
 
 
@@ -83,6 +83,23 @@ FROM d LEFT JOIN a USING (rid)
 """
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -105,6 +122,7 @@ def queries() -> dict:
         "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
         "op5_mixing": op5_mixing,
+        "op6_topk": op6_topk,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
@@ -113,4 +131,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL}
