@@ -159,6 +159,10 @@ def normal_form():
     return F.trim(F.regexp_replace(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+", " "))
 
 
+def node_of(norm):
+    return F.unhex(F.md5(norm.cast("binary")))
+
+
 def frequencies(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """The ``most`` most frequent words of ``texts(norm)``: hashes and document frequencies over all rows, and whether there are more."""
 
@@ -186,7 +190,8 @@ def frequencies(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bo
 
 
 def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """``docs(doc_id, text)`` to ``doc_id, class_id, class_size, kept``: one row a document, the class named by its least id."""
+    """``docs(doc_id, text)`` to ``doc_id, class_id, class_size, kept, node``: one row a document, the class named by its least id;
+    node is the MD5 of the normal form."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", normal_form().alias("norm"))
     weights = spark.sparkContext.broadcast(Weights(*(f := frequencies(texts.select("norm"), cfg.vocabulary))[:2], docs.count(), f[2]))  # at most ``vocabulary`` entries
@@ -201,7 +206,7 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
                 keys.append(sampler.keys(h, w) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(total), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "weight", "keys"])
 
-    node = F.unhex(F.md5(F.col("norm").cast("binary")))
+    node = node_of(F.col("norm"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = written(texts.select("doc_id", node.alias("node"), "norm").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")), "nodes")
@@ -214,7 +219,7 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     of = written(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
     named = written(of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "named")
     by_node = written(of.select("node", "root").join(named, "root").select("node", "class_id", "class_size"), "classes")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, secret_scan, sentencepiece_fst, topk
+from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, pii, secret_scan, sentencepiece_fst, topk
 from kerfline.llm.common import table
 
 
@@ -22,6 +22,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -36,8 +40,8 @@ s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM c GROUP BY s
 s1 AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s0),
 s2 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
           / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
-s3 AS (SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS top FROM s2),
-s AS (SELECT source, source_size, least(cap, coalesce(top * weight, cap)) AS target,
+s3 AS (SELECT *, max(level) OVER () AS top FROM s2),
+s AS (SELECT source, source_size, least(cap, top * weight) AS target,
              CAST(CAST('0x' || substr(md5('mix' || coalesce(source, chr(0))), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS start FROM s3),
 r AS (SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id) AS k FROM c)
 SELECT doc_id, size, source_size, target,
@@ -113,7 +117,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
 def queries() -> dict:
@@ -121,6 +125,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
+        "op4_pii": op4_pii,
         "op5_mixing": op5_mixing,
         "op6_topk": op6_topk,
         "op7_sentencepiece": op7_sentencepiece,
