@@ -60,9 +60,9 @@ def targets(per_source: DataFrame) -> DataFrame:
         "level": (SHARE * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         / F.sum("weight").over(fill.rowsBetween(0, W.unboundedFollowing)),
     })
-    # sources below the level are full; the level of the first that is not holds for all the rest
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
-    return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    # Filling one more source raises the level while that source's cap is below it, and lowers it from there on.
+    s = s.withColumn("level", F.max("level").over(whole))
+    return s.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", slices: int = SLICES) -> DataFrame:
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, seed: str = "mix", slices: int = SLICES) -> DataFrame:
             "source", "class", "slice", (F.col("slot_before") + F.col("class_before")).alias("before"), "source_size", "target"),
         "slot-ranks")
     ranked = base.withColumn("rank", F.row_number().over(W.partitionBy("source", "class", "slice").orderBy("size", "doc_id")))
-    both = _same(ranked, known, "source", "class", "slice")
+    both = _same(ranked, known.hint("merge"), "source", "class", "slice")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = F.col("before") + F.col("rank")
     start = unit(F.col("source"), seed)
