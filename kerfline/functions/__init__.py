@@ -1 +1 @@
-
+"""Column expressions and array kernels."""
