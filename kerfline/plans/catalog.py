@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from kerfline.plans import fusion, signals  # noqa: F401
+    from kerfline.plans import fusion, signals, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

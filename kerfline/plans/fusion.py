@@ -25,12 +25,12 @@ t AS (SELECT record_name, max(y_true) AS y_true FROM al GROUP BY record_name)
 SELECT t.record_name, round(t.y_true, 6) AS y_true, round(f.y_pred, 6) AS y_pred, round(f.sigma, 6) AS sigma, round(f.reference_mae, 6) AS reference_mae, coalesce(members, 0) AS members,
        CASE WHEN f.sigma IS NULL THEN NULL WHEN f.sigma < 0.05 THEN 'high' WHEN f.sigma < 0.15 THEN 'medium' ELSE 'low' END AS confidence_label,
        round(f.y_pred - t.y_true, 6) + 0.0 AS residual_mm, round(abs(f.y_pred - t.y_true) / nullif(f.sigma, 0), 5) AS z_score,
-       abs(f.y_pred - t.y_true) <= f.sigma AS within_1sigma, abs(f.y_pred - t.y_true) <= 2 * f.sigma AS within_2sigma
+       coalesce(abs(f.y_pred - t.y_true) <= f.sigma, false) AS within_1sigma, coalesce(abs(f.y_pred - t.y_true) <= 2 * f.sigma, false) AS within_2sigma
 FROM t LEFT JOIN f USING (record_name)
 """)
 def flagship_fusion(spark, sf_dir):
     out = fusion.with_residuals(fusion.fuse(views.bundles(spark, sf_dir), members=2))
-    return out.select("record_name", *rounded("y_true", "y_pred", "sigma", "reference_mae"), F.coalesce("members", F.lit(0)).alias("members"), "confidence_label", (F.round("residual_mm", 6) + 0.0).alias("residual_mm"), *rounded("z_score", digits=5), "within_1sigma", "within_2sigma")
+    return out.select("record_name", *rounded("y_true", "y_pred", "sigma", "reference_mae"), F.coalesce("members", F.lit(0)).alias("members"), "confidence_label", (F.round("residual_mm", 6) + 0.0).alias("residual_mm"), *rounded("z_score", digits=5), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("within_1sigma", "within_2sigma")))
 
 
 @query("fusion_aligned_members", f"WITH {views.BUNDLES} SELECT modality, record_name, row_idx, round(y_pred, 6) AS y_pred, sigma FROM al")

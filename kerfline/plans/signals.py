@@ -16,10 +16,10 @@ WIN = "(PARTITION BY rec ORDER BY i)"
 @query("signal_sample_rate", f"""
 WITH {views.SIGNALS}, d AS (SELECT rec, (us - lag(us) OVER (PARTITION BY rec ORDER BY us)) / 1e6::DOUBLE AS d FROM sig),
 m AS (SELECT rec, quantile_cont(d, 0.5) AS dt, max(d) AS most, min(d) AS least FROM d WHERE d > 0 GROUP BY rec)
-SELECT rec, CAST(round_even(1 / dt, 0) AS BIGINT) AS sr, round(dt, 4) AS dt, round(greatest(abs(most - dt), abs(least - dt)) / dt, 6) AS jitter FROM m
+SELECT rec, CAST(round_even(1 / dt, 0) AS BIGINT) AS sr, round(dt, 2) AS dt, round(greatest(abs(most - dt), abs(least - dt)) / dt, 6) AS jitter FROM m
 """)
 def signal_sample_rate(spark, sf_dir):
-    return windows.sample_rate(views.signals(spark, sf_dir).select("rec", (F.col("us") / 1e6).alias("t"))).select("rec", "sr", *rounded("dt", digits=4), *rounded("jitter"))
+    return windows.sample_rate(views.signals(spark, sf_dir).select("rec", (F.col("us") / 1e6).alias("t"))).select("rec", "sr", *rounded("dt", digits=2), *rounded("jitter"))
 
 
 @query("first_difference", f"""
