@@ -1 +1 @@
-
+"""Reading recordings and tables, and writing results."""
