@@ -13,7 +13,7 @@ Defined results: vectors that are null or hold null or non-finite components tak
 candidate; only vectors of equal length are compared; a query is not compared with rows of its own id; rows that
 repeat an id are candidates one by one, and a query id that occurs more than once with different vectors is
 answered for its first vector by value; ties go to the smaller id; products whose size is beyond 2**53 are
-computed with Python integers; an empty table gives an empty result.
+computed with Python integers, and a score beyond 64 bits fails loudly; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ class Config:
 
 def quantised(embedding: Column) -> Column:
     """floor(256 * x) of each component in double precision; null where the vector takes no part."""
-    parts = F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  larger ones are whole
+    parts = F.transform(embedding, lambda x: whole(x.cast("double") * 256))
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(embedding.isNotNull() & ~F.coalesce(bad, F.lit(True)), parts)
 
