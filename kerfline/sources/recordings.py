@@ -108,7 +108,7 @@ def signals(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
                     x, sr = decode(path, content.as_py())
                     rows.append((path, x, sr, len(x) / sr, None))
                 except (ValueError, EOFError, wave.Error) as e:
-                    rows.append((path, None, None, None, str(e)))
+                    rows.append((path, None, None, None, str(e) or type(e).__name__))
             types = (pa.string(), pa.list_(pa.float32()), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["path", "y", "sr", "duration_s", "error"]) if rows else None
 
