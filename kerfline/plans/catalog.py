@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from kerfline.plans import features, fusion, signals, streams, tables  # noqa: F401
+    from kerfline.plans import features, fusion, models, signals, streams, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
