@@ -1,8 +1,13 @@
 """From shared keys to connected groups, without all pairs of a key's members.
 
-``link`` compares each member of a key with the key's first member only. Members that this leaves in another
-component than the first are then compared with every member of the key outside their own component. What is
-never compared is a pair that already lies in one component, so groups are those of all pairs that share a key.
+``link`` goes in three rounds over the members of each key. First each is compared with the key's first member. Of keys
+that still hold more than one component, each member is then compared with the most central one. What lies outside
+that one's component is at last compared with all members outside its own. What is never compared is a pair that lies in
+one component already, or one that a bound rules out, so groups are those of all pairs that share a key.
+
+The bound: a member's ``own`` size is what no other compared member has. Two members have in common at most the smaller
+rest, so their similarity, common over all, can be told to stay below the threshold. A member whose own part
+alone is too large is alone.
 
 Components come from alternating large-star and small-star steps over edge tables; no node's neighbours and no
 component ever meet in one task as a list.
@@ -18,63 +23,97 @@ from pyspark.sql import functions as F
 from kerfline.llm.common import written
 
 
-def _sum_of(edges: DataFrame) -> tuple:
-    """Count and order-free checksum of an edge table."""
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first()
-    return tuple(row)
-
-
-def _star(pairs: DataFrame, least: DataFrame, to) -> DataFrame:
-    """Each pair (u, v) turned to point at the least neighbour of u."""
-    return pairs.join(least, "u").select(*to)
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to a root: no node has two edges down, or one both ways."""
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by_node = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` to ``id, root``: root is the least id of the component. Ids without an edge do not appear."""
     now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    seen = _sum_of(now)
     for _ in range(rounds):
+        if _settled(now):
+            break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
-        large = _star(both.where(F.col("v") > F.col("u")), least, (F.col("v").alias("hi"), F.col("m").alias("lo")))
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         now = written(large.where(F.col("hi") != F.col("lo")).distinct(), "large")
         down = now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = _star(down, least, (F.col("v").alias("hi"), F.col("m").alias("lo")))
+        small = down.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         now = written(small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where(F.col("hi") != F.col("lo")).distinct(), "small")
-        after = _sum_of(now)
-        if after == seen:
-            break
-        seen = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    # Settled: every edge leads straight to its root.
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("root"))).distinct()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size: str, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """``members(key, id, <size>)``, at most one row a key and id, to ``(edges(a, b), components(id, root))``.
-
-    ``verify`` takes pairs ``(a, b)`` and returns those that are similar. Pairs whose sizes differ by more than ``ratio``
-    cannot be and are not given to it."""
-    heads = written(members.groupBy("key").agg(F.min(F.struct("id", size)).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "heads")
-    held = written(members.join(heads, "key").select("key", "id", size, F.col("head.id").alias("head"), F.col(f"head.{size}").alias("head_size")), "held")
-    near = lambda x, y: F.least(x, y) >= ratio * F.greatest(x, y)
-    first = held.where((F.col("id") != F.col("head")) & near(F.col(size), F.col("head_size"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    edges = written(verify(first).select("a", "b"), "links")
-    roots = written(components(edges), "roots")
-
-    # Members not yet in the component of their key's first member.
-    own = held.join(roots, "id", "left").select("key", "id", size, "head", F.coalesce("root", "id").alias("root"))
-    top = roots.withColumnsRenamed({"id": "head", "root": "head_root"})
-    placed = written(own.join(top, "head", "left").select("key", "id", size, "head", "root", F.coalesce("head_root", "head").alias("head_root")), "placed")
-    out = placed.where(F.col("root") != F.col("head_root")).select("key", "id", size, "root")
-    other = out.select("key").distinct()
-    there = placed.join(other, "key").select("key", F.col("id").alias("b"), F.col(size).alias("b_size"), F.col("root").alias("b_root"), (F.col("root") == F.col("head_root")).alias("main"), (F.col("id") == F.col("head")).alias("tested"))
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components ``id, root`` with further edges put in: only roots and new ids go through the rounds again."""
+    end = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    tops = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = written(tops.where(F.col("a") != F.col("b")).distinct(), "tops")
+    if tops.isEmpty():
+        return roots
+    over = written(components(tops), "over")
+    moved = roots.join(over.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(over.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root`` of each row's id, itself where it has no edge."""
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable | None, threshold: float) -> DataFrame:
+    """``members(key, id, size)`` with numbers for ids, at most one row a key and id, to the components ``id, root`` of similar ids.
+
+    ``fetch(ids)`` gets what is to be compared, once for all ids that share a key with another. ``verify(pairs, what)``
+    returns those of the pairs ``(a, b)`` that are similar, ``own(ids, what)`` each id's ``own`` size among these ids.
+    Similarity is at most what two have in common over all they have; without ``own`` it is at most the smaller size over the larger."""
+    heads = written(members.groupBy("key").agg(F.min("id").alias("head"), F.min_by("size", "id").alias("head_size"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
+    held = written(members.join(heads.hint("merge"), "key").select("key", "id", "size", "head", "head_size"), "held")
+    what = fetch(held.select("id").distinct())
+    near = F.least("size", "head_size") >= threshold * F.greatest("size", "head_size")
+    first = written(held.where((F.col("id") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    roots = written(components(written(verify(first, what).select("a", "b"), "links")), "roots")
+
+    # Keys with more than one component.
+    placed = written(_rooted(held.select("key", "id", "size"), roots), "placed")
+    split = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "split-keys")
+    rest = written(placed.join(split, "key", "left_semi"), "rest")
+    if own is None:
+        rest = rest.withColumn("own", F.lit(0.0))
+    else:
+        rest = rest.join(written(own(rest.select("id").distinct(), what), "own"), "id").where(F.col("own") <= (1 - threshold) * F.col("size"))
+    rest = written(rest, "rest")
+    central = written(rest.groupBy("key").agg(F.min(F.struct((F.col("own") / F.greatest("size", F.lit(1e-12))).alias("share"), "id", "size", "own", "root")).alias("h")), "central")
+    beside = rest.join(central, "key").where((F.col("root") != F.col("h.root")) & _possible("size", "own", "h.size", "h.own", threshold, own is not None))
+    second = written(beside.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), "pairs")
+    roots = joined(roots, written(verify(second, what).select("a", "b"), "links"))
+
+    # Members outside the component of their key's most central one.
+    placed = written(_rooted(rest.drop("root"), roots), "placed")
+    tops = written(_rooted(central.select("key", F.col("h.id").alias("id")), roots).select("key", F.col("id").alias("head"), F.col("root").alias("head_root")), "tops")
+    there = written(placed.join(tops, "key").select("key", "id", "size", "own", "root", (F.col("root") == F.col("head_root")).alias("main"), (F.col("id") == F.col("head")).alias("tested")), "there")
+    # A pair that shares several keys is met under the least of them only.
+    there = written(there.join(written(there.groupBy("id").agg(F.collect_set("key").alias("keys")), "key-sets"), "id"), "there")
+    out = there.where("NOT main").select("key", "id", "size", "own", "root", "keys")
+    other = there.where("NOT tested").select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "own", "root", "main", "keys")))
+    least = F.array_min(F.array_intersect("keys", "b_keys")) == F.col("key")
     more = (
-        out.join(there, "key")
-        .where((F.col("root") != F.col("b_root")) & ~F.col("tested") & (F.col("main") | (F.col("id") < F.col("b"))) & near(F.col(size), F.col("b_size")))
-        .select(F.col("id").alias("a"), "b").distinct()
+        out.join(other, "key")
+        .where((F.col("root") != F.col("b_root")) & (F.col("b_main") | (F.col("id") < F.col("b_id"))) & _possible("size", "own", "b_size", "b_own", threshold, own is not None) & least)
+        .select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
     )
-    edges = written(edges.unionByName(verify(more).select("a", "b")), "links")
-    return edges, written(components(edges), "roots")
+    return joined(roots, written(verify(written(more, "pairs"), what).select("a", "b"), "links"))
+
+
+def _possible(size: str, own: str, other: str, other_own: str, threshold: float, by_share: bool):
+    """Whether two members can be similar at all. Sums are compared with a little room, as they are rounded."""
+    a, b = F.col(size), F.col(other)
+    if not by_share:
+        return F.least(a, b) >= threshold * F.greatest(a, b)
+    common = F.least(a - F.col(own), b - F.col(other_own))
+    return common * (1 + 1e-9) >= threshold / (1 + threshold) * (a + b)

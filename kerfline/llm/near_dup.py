@@ -1,6 +1,6 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is lower-cased, and what is neither letter nor digit separates words. Shingles are five words (all of them, if
+A text is lower-cased, and ASCII characters that are neither letters nor digits separate words. Shingles are five words (all of them, if
 there are fewer); a shingle weighs its count in the text times its IDF, the mean over its words of
 ``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are counted over all documents; the ``vocabulary`` most
 frequent words keep their own, rarer ones share that of the last. IDF is by word since a shingle's own frequency
@@ -10,8 +10,8 @@ Consistent weighted samples (one element and level for each of ``bands * rows``
 with the probability of their weighted Jaccard similarity. The samples of a band make a key; texts that share a
 key are linked by ``linkage.link``, each pair verified by its exact weighted Jaccard similarity.
 
-Per draw, an element's random triple (r, beta, c) is picked from a fixed list of 65,536 by a hash of the
-element.
+Per draw, an element's random triple (r, beta, c) is picked from a fixed list of 8,192 by a hash of the
+element; of elements with one triple and weight the first by hash counts as the least.
 
 Texts with the same words are one node from the start. Defined results: null and empty texts and texts without a word
 are one class; repeated rows are in the class of their text; a null id takes part, and names a class only where
@@ -20,6 +20,7 @@ there is no other id; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,7 @@ class Config:
     seed: int = 5
 
 
+TRIPLES = 1 << 13
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 
@@ -121,9 +123,9 @@ class Sampler:
         k = cfg.bands * cfg.rows
         self.cfg = cfg
         self.by = (rng.integers(0, 1 << 63, k, dtype="u8") << np.uint64(1) | np.uint64(1))[:, None]
-        self.r = rng.gamma(2, 1, 1 << 16).astype("f4")
-        self.beta = rng.random(1 << 16).astype("f4")
-        self.ln_c = np.log(rng.gamma(2, 1, 1 << 16)).astype("f4")
+        self.r = rng.gamma(2, 1, TRIPLES).astype("f4")
+        self.beta = rng.random(TRIPLES).astype("f4")
+        self.ln_c = np.log(rng.gamma(2, 1, TRIPLES)).astype("f4")
 
     def keys(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One key a band."""
@@ -132,7 +134,7 @@ class Sampler:
         ln = np.log(weight).astype("f4")
         for s in range(0, len(h), 2048):
             part = h[s : s + 2048]
-            at = ((part[None] * self.by) >> np.uint64(48)).view("i8")
+            at = ((part[None] * self.by) >> np.uint64(51)).view("i8")
             r, beta = self.r.take(at), self.beta.take(at)
             t = np.floor(ln[s : s + 2048] / r + beta)
             ln_a = self.ln_c.take(at) - r * (t - beta + 1)
@@ -149,14 +151,16 @@ class Sampler:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    x, y = a[1][i], b[1][j]
-    low = np.minimum(x, y).sum()
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), max(0, len(b[0]) - 1))
+    both = b[0][at] == a[0] if len(b[0]) else np.zeros(0, bool)
+    low = np.minimum(a[1][both], b[1][at[both]]).sum()
     return float(low / (a[1].sum() + b[1].sum() - low)) if len(a[0]) or len(b[0]) else 1.0
 
 
 def normal_form():
-    return F.trim(F.regexp_replace(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text_or_empty()), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " "))
 
 
 def node_of(norm):
@@ -209,36 +213,67 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     node = node_of(F.col("norm"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = written(texts.select("doc_id", node.alias("node"), "norm").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")), "nodes")
-    members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "weight").distinct()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return similar(pairs, texts.select(node.alias("node"), "norm"), weights, cfg)
-
-    _, roots = link(members, verify, "weight", cfg.threshold)
-    of = written(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
+    members = nodes.select(F.explode("keys").alias("key"), "id", F.col("weight").alias("size"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """Texts of nodes, by the id of their first document; only what is asked for is normalised."""
+        at = nodes.join(ids, "id").select("id", "node", F.col("doc_id").alias("_id"))
+        found = docs.select("doc_id", "text").join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "node", normal_form().alias("norm"))
+        return written(found.where(node_of(F.col("norm")) == F.col("node")).groupBy("id").agg(F.first("norm").alias("norm")), "texts")
+
+    roots = link(
+        members, fetch, lambda pairs, known: similar(pairs, known, weights, cfg), lambda ids, known: alone(ids, known, weights, cfg), cfg.threshold
+    )
+    of = written(nodes.join(roots, "id", "left").select("node", "doc_id", "n", F.coalesce("root", "id").alias("root")), "rooted")
     named = written(of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "named")
     by_node = written(of.select("node", "root").join(named, "root").select("node", "class_id", "class_size"), "classes")
     return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose texts are similar enough. ``texts(node, norm)`` may repeat nodes."""
-    pairs = written(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = written(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm")), "texts")
-    left = held.select(F.col("node").alias("a"), F.col("norm").alias("a_text"))
-    right = held.select(F.col("node").alias("b"), F.col("norm").alias("b_text"))
+    """The pairs ``(a, b)`` of nodes whose ``texts(id, norm)`` are similar enough."""
+    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_text"))
+    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_text"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
+        known: OrderedDict[int, tuple] = OrderedDict()
+        size = 0
+
+        def of(node: int, text: pa.StringScalar) -> tuple:
+            nonlocal size
+            if node in known:
+                known.move_to_end(node)
+                return known[node]
+            out = known[node] = shingles(text.as_py(), weights.value, cfg.words)
+            size += len(out[0])
+            while size > 2_000_000 and len(known) > 1:
+                size -= len(known.popitem(last=False)[1][0])
+            return out
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                if x.as_py() != last:
-                    last = x.as_py()
-                    known = shingles(last, weights.value, cfg.words)
-                keep.append(similarity(known, shingles(y.as_py(), weights.value, cfg.words)) >= cfg.threshold)
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = [similarity(of(x, t), of(y, u)) >= cfg.threshold for x, y, t, u in zip(a, b, batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a binary, b binary")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
+
+
+def alone(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
+    """``id, own``: for each of the ids the weight of its shingles that no other of them has."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                each = [shingles(t.as_py(), weights.value, cfg.words) for t in part.column(1)]
+                n = np.array([len(h) for h, _ in each], "i8")
+                h, w = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+                id_ = part.column(0).take(pa.array(np.repeat(np.arange(len(each)), n)))
+                yield pa.RecordBatch.from_arrays([id_, pa.array(h.view("i8")), pa.array(w.astype("f4"))], names=["id", "shingle", "w"])
+
+    some = texts.join(ids, "id", "left_semi").select("id", "norm")
+    one = some.mapInArrow(spell, "id long, shingle long, w float").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
+    # rounded down a little: single precision must not make an own part larger than it is
+    total = one.groupBy("id").agg((F.sum(F.col("w").cast("double")) * (1 - 1e-6)).alias("own"))
+    return ids.join(total, "id", "left").select("id", F.coalesce("own", F.lit(0.0)).alias("own"))
