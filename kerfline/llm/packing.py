@@ -15,16 +15,16 @@ repeat an id are packed each for itself; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerfline.llm import sentencepiece_fst as spm
-
 SCHEMA = "row_id string, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_starts array<int>"
 
 
@@ -93,16 +93,35 @@ def pack_rows(docs: list[tuple[int | None, np.ndarray]], room: int) -> Iterator[
         yield int(ends[-1]), np.concatenate([p[2] for p in own]).tobytes(), [0, *ends.tolist()], [0, *ends[:-1].tolist()], [p[0] for p in own], [p[1] for p in own]
 
 
-def pack(docs: DataFrame, room: int = 2048, model_path: str = spm.MODEL, eos: int | None = 2, stretch: int = 4096, tokens: int = 4 << 20) -> DataFrame:
-    """``docs(doc_id, text)`` to packed rows; ids are little-endian, 2 bytes if the model has at most 65,536 pieces, else 4.
+#: A byte-level vocabulary in rank form: base64 of each token's bytes, and its id, one a line.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the public split pattern of that vocabulary.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+_LOADED: dict[int, tiktoken.Encoding] = {}
+
+
+def encoding(raw: bytes) -> tiktoken.Encoding:
+    """One encoder a worker process and vocabulary."""
+    key = hash(raw)
+    if key not in _LOADED:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+        _LOADED.clear()
+        _LOADED[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[key]
+
+
+def pack(docs: DataFrame, room: int = 2048, vocabulary: str = VOCABULARY, eos: int | None = 50256, stretch: int = 4096, tokens: int = 4 << 20) -> DataFrame:
+    """``docs(doc_id, text)`` to packed rows; ids are little-endian, 2 bytes each if they fit, else 4.
 
-    A stretch ends at ``stretch`` documents or ``tokens`` ids, whichever comes first."""
-    model = docs.sparkSession.sparkContext.broadcast(spm.read_model(model_path))  # a file of fixed size
+    ``eos`` ends each document. A stretch ends at ``stretch`` documents or ``tokens`` ids, whichever comes first."""
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = spm.loaded(model.value)
-        kind = "<u2" if len(fst.pieces) <= 1 << 16 else "<i4"
-        end = np.array([] if eos is None else [eos], kind)
+        coder = encoding(ranks.value)
+        kind = "<u2" if max(coder.n_vocab, eos or 0) <= 1 << 16 else "<u4"
+        end = [] if eos is None else [eos]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         types = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         held, size, part, n = [], 0, TaskContext.get().partitionId(), 0
@@ -116,9 +135,9 @@ def pack(docs: DataFrame, room: int = 2048, model_path: str = spm.MODEL, eos: in
         for batch in batches:
             ids, texts = batch.columns
             for i in range(batch.num_rows):
-                raw = fst.encode_raw(texts[i].as_py())
-                if raw:
-                    held.append((ids[i].as_py(), np.concatenate([np.frombuffer(raw, "<i4").astype(kind), end])))
+                text = texts[i].as_py()
+                if text:
+                    held.append((ids[i].as_py(), np.array(coder.encode_ordinary(text) + end, kind)))
                     size += len(held[-1][1])
                 if len(held) >= stretch or size >= tokens:
                     yield from out()
