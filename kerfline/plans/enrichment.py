@@ -13,7 +13,7 @@ from kerfline.sources import tables
 
 
 @query("geometry_features", """
-WITH h AS (SELECT 'S' || s_suppkey AS hole, (s_suppkey % 13) * 1.5 AS x, (s_suppkey % 7) * 2.5 AS y FROM supplier WHERE s_suppkey <= 60), r AS (SELECT s_suppkey AS rec, 'S' || (s_suppkey % 80) AS hole FROM supplier)
+WITH h AS (SELECT 'S' || s_suppkey AS hole, (s_suppkey % 13) * 1.5::DOUBLE AS x, (s_suppkey % 7) * 2.5::DOUBLE AS y FROM supplier WHERE s_suppkey <= 60), r AS (SELECT s_suppkey AS rec, 'S' || (s_suppkey % 80) AS hole FROM supplier)
 SELECT rec, round(x - 4, 6) AS mic_dx, round(y - 5, 6) AS mic_dy, round(sqrt(pow(x - 4, 2) + pow(y - 5, 2)), 6) AS mic_r, round(CASE WHEN x IS NOT NULL THEN ln(greatest(sqrt(pow(x - 4, 2) + pow(y - 5, 2)), 1e-6)) END, 6) AS mic_log_r, round(atan2(y - 5, x - 4), 6) AS mic_angle FROM r LEFT JOIN h ON r.hole = h.hole
 """)
 def geometry_features(spark, sf_dir):
