@@ -24,6 +24,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
 class Transducer:
     """Normaliser, pieces and byte fallback of one model."""
 
-    def __init__(self, model: bytes, words: int = 200_000, pairs: int = 1_000_000):
+    def __init__(self, model: bytes, words: int = 400_000, pairs: int = 1_000_000):
         self.pieces: list[str] = []
         self.score: list[float] = []
         self.kind: list[int] = []
@@ -110,13 +111,15 @@ class Transducer:
         self.spelled[self.unk] = " ⁇ ".encode()
         self._pair: dict[int, bool] = {}
         self._pairs = pairs
+        if self.model_type == BPE:
+            self._compile_pairs()
         self._words = _Words(self, words)
 
     # Weights.
 
-    def _merged(self, chars: str) -> list[str]:
-        """What BPE merging makes of a short string: best score first, leftmost of equals."""
-        parts = list(chars)
+    def _merged(self, chars: str) -> tuple[list[str], tuple[str, str]]:
+        """What BPE merging makes of a short string, best score first and leftmost of equals; and what it merged last."""
+        parts, last = list(chars), ("", "")
         while len(parts) > 1:
             best, at = -INF, -1
             for i in range(len(parts) - 1):
@@ -125,18 +128,50 @@ class Transducer:
                     best, at = self.score[k], i
             if at < 0:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, last
+
+    def _compile_pairs(self) -> None:
+        """The acceptor of pieces that merging can make, and each one's last merge."""
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.accept = ahocorasick.Automaton()
+        for text, i in self.ids.items():
+            parts, self.halves[text] = self._merged(text)
+            if len(parts) == 1:
+                self.accept.add_word(text, (i, len(text)))
+        self.accept.make_automaton()
+
+    def _apart(self, u: str, v: str) -> bool:
+        """Whether merging leaves two neighbouring pieces apart.
+
+        The characters next to the border are looked at back in time, undoing the later of their two merges: a merge
+        across the border must never have been the better one while they stood beside each other."""
+        if "  " in u or "  " in v:  # runs of spaces have equal scores
+            return self._merged(u + v)[0] == [u, v]
+        score = lambda x: self.score[self.ids[x]]
+        until, left_first = -INF, True
+        while True:
+            across = self.ids.get(u + v)
+            if across is not None and (self.score[across] > until or self.score[across] == until and not left_first):
+                return False
+            if len(u) == 1 and len(v) == 1:
+                return True
+            if len(v) == 1 or len(u) > 1 and score(u) < score(v):
+                until, left_first, u = score(u), True, self.halves[u][1]
+            else:
+                until, left_first, v = score(v), False, self.halves[v][0]
 
     def _joins(self, before: int, piece: int) -> bool:
         """Whether BPE leaves ``piece`` whole after ``before``; -1: at the start, -2: after a character that no piece has."""
+        if before < 0:
+            return True
         key = before * 1_000_000 + piece
         known = self._pair.get(key)
         if known is None:
             if len(self._pair) >= self._pairs:
                 self._pair.clear()
-            both = [self.spelled[i].decode() for i in (before, piece) if i >= 0]
-            known = self._pair[key] = len(both[-1]) == len("".join(both)) == 1 or self._merged("".join(both)) == both
+            known = self._pair[key] = self._apart(self.spelled[before].decode(), self.spelled[piece].decode())
         return known
 
     # Composition and shortest path.
@@ -161,19 +196,24 @@ class Transducer:
 
     def _one_path(self, chunk: str) -> tuple[list[int], list[int]]:
         """Weights are 0 or infinity, and one arc of weight 0 ends at each position."""
-        n, get, longest, pair = len(chunk), self.ids.get, self.longest, self._pair
+        n, pair = len(chunk), self._pair
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = get(chunk[start:end])
-                if piece is None:
-                    continue
-                fits = pair.get(last[start] * 1_000_000 + piece)
-                if fits or fits is None and self._joins(last[start], piece):
-                    last[end], back[end] = piece, start
-                    break
-            else:  # no piece reads this character
-                last[end], back[end] = -2, end - 1
+        done = 0  # positions that have their arc
+        for end, (piece, size) in self.accept.iter(chunk):
+            if end < done:
+                continue
+            while done < end:  # no piece reads these characters
+                done += 1
+                last[done], back[done] = -2, done - 1
+            start = end + 1 - size
+            before = last[start]
+            fits = before < 0 or pair.get(before * 1_000_000 + piece)
+            if fits or fits is None and self._joins(before, piece):
+                done = end + 1
+                last[done], back[done] = piece, start
+        while done < n:
+            done += 1
+            last[done], back[done] = -2, done - 1
         return last, back
 
     def _least_path(self, chunk: str) -> tuple[list[int], list[int]]:
