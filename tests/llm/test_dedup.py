@@ -91,6 +91,27 @@ def test_all_line_pairs_within_two_bits_are_linked(spark):
     assert kept <= set(root.values())
 
 
+def test_recall_of_similar_lines_against_all_pairs(spark):
+    rng, lines, made = random.Random(11), [], {}
+    for n, changed in ((8, 1), (10, 1), (14, 1), (20, 1), (20, 2), (40, 4)):
+        for _ in range(30):
+            line = [rng.choice(WORDS) for _ in range(n)]
+            other = list(line)
+            for i in rng.sample(range(n), changed):
+                other[i] = rng.choice(WORDS)
+            made.setdefault((n, changed), []).append(len(lines))
+            lines += [" ".join(line), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    dropped = {r.doc_id for r in line_dedup.dedup(docs).collect() if r.dropped}
+    alike = lambda i, j: 1 - edit(lines[i], lines[j]) / max(len(lines[i]), len(lines[j])) >= line_dedup.SIMILAR
+    for case, firsts in made.items():
+        pairs = [i for i in firsts if alike(i, i + 1)]
+        assert sum(i + 1 in dropped for i in pairs) >= 0.9 * len(pairs), (case, len(pairs))
+    near = lambda i, j: abs(len(lines[i]) - len(lines[j])) <= 0.2 * max(len(lines[i]), len(lines[j]))
+    for i in sorted(dropped):
+        assert any(near(i, j) and alike(i, j) for j in (i - 1, *range(len(lines))) if j != i)
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     got = line_dedup.dedup(odd_docs, keep=("doc_id", "kept", "score")).collect()
     assert len(got) == odd_docs.count()
