@@ -1,6 +1,6 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is lower-cased, and ASCII characters that are neither letters nor digits separate words. Shingles are five words (all of them, if
+A text is lower-cased, and characters that are neither letters nor digits separate words. Shingles are five words (all of them, if
 there are fewer); a shingle weighs its count in the text times its IDF, the mean over its words of
 ``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are counted over all documents; the ``vocabulary`` most
 frequent words keep their own, rarer ones share that of the last. IDF is by word since a shingle's own frequency
@@ -160,7 +160,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def normal_form():
-    return F.trim(F.regexp_replace(F.lower(text_or_empty()), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+", " "))
 
 
 def node_of(norm):

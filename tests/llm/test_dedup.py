@@ -112,6 +112,16 @@ def test_recall_of_similar_lines_against_all_pairs(spark):
         assert any(near(i, j) and alike(i, j) for j in (i - 1, *range(len(lines))) if j != i)
 
 
+def test_marks_outside_ascii_separate_words(spark):
+    plain = 'it said "stop here" and then - nothing at all'
+    curly = "it said \u201cstop here\u201d and then \u2014 nothing\u00a0at all"
+    rows = [(1, f"{plain}\n\u2014\u2014\u2014"), (2, f"{curly}\n\u2014\u2014\u2014")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.select(line_dedup.normal_form(docs["text"]).alias("n")).distinct().count() == 1
+    assert docs.select(near_dup.normal_form().alias("n")).distinct().collect()[0].n == "it said stop here and then nothing at all"
+    assert len({r.h for r in line_dedup.hashed_lines(docs).collect()}) == 1  # the rules are no content
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     got = line_dedup.dedup(odd_docs, keep=("doc_id", "kept", "score")).collect()
     assert len(got) == odd_docs.count()
