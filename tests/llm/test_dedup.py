@@ -122,6 +122,13 @@ def test_marks_outside_ascii_separate_words(spark):
     assert len({r.h for r in line_dedup.hashed_lines(docs).collect()}) == 1  # the rules are no content
 
 
+def test_longest_lines_have_a_simhash(spark):
+    line = "ab " * 530_000
+    docs = spark.createDataFrame([(1, line + "one end"), (2, line + "two end")], "doc_id long, text string")
+    word = spark.sql("SELECT xxhash64('ab') AS x").collect()[0].x
+    assert [r.sim for r in line_dedup.hashed_lines(docs).collect()] == [word, word]
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     got = line_dedup.dedup(odd_docs, keep=("doc_id", "kept", "score")).collect()
     assert len(got) == odd_docs.count()
