@@ -2,8 +2,8 @@
 
 A text is lower-cased, and characters that are neither letters nor digits separate words. Shingles are five words (all of them, if
 there are fewer); a shingle weighs its count in the text times its IDF, the mean over its words of
-``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are counted over all documents; the ``vocabulary`` most
-frequent words keep their own, rarer ones share that of the last. IDF is by word since a shingle's own frequency
+``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are counted over all documents and exact for every word: those of the
+``vocabulary`` most frequent words are sent to all tasks, those of rarer words are joined to each text that holds them. IDF is by word since a shingle's own frequency
 would take weight from exactly what a large group of copies shares.
 
 Consistent weighted samples (one element and level for each of ``bands * rows`` draws) agree between two texts
@@ -83,30 +83,51 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 class Weights:
-    """IDF by word from a bounded table of document frequencies."""
+    """IDF by word from a bounded table of document frequencies; ``full`` says that there are more words, whose frequencies come with each text."""
 
     def __init__(self, hashes: np.ndarray, df: np.ndarray, docs: int, full: bool):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         scale = np.log(1 + max(1, docs))
-        idf = lambda x: 1 + np.log((1 + docs) / (1 + x)) / scale
-        self.idf = idf(df[order].astype("f8"))
-        self.rare = float(idf(float(df.min()) if full and len(df) else 1.0))
+        self.full, self.docs, self.scale = full, max(0, docs), scale
+        self.idf = self._idf(df[order])
+        self.once = float(self._idf(np.ones(1))[0])
 
-    def of(self, words: np.ndarray) -> np.ndarray:
+    def _idf(self, df: np.ndarray) -> np.ndarray:
+        return 1 + np.log((1 + self.docs) / (1 + df.astype("f8"))) / self.scale
+
+    def known(self, words: np.ndarray) -> np.ndarray:
+        """Which words the table holds."""
         if not len(self.hashes):
-            return np.full(len(words), self.rare)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.idf[at], self.rare)
+            return np.zeros(len(words), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)] == words
+
+    def of(self, words: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """IDF of the words of a text, ``rare`` being those of its words that the table lacks and their document frequencies."""
+        out = np.full(len(words), self.once)
+        for hashes, idf in ((self.hashes, self.idf), *(((rare[0], self._idf(rare[1])),) if rare else ())):
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+                out = np.where(hashes[at] == words, idf[at], out)
+        return out
+
 
+def rare_words(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray] | None:
+    """A text's column ``rare`` as hashes, sorted, and document frequencies."""
+    if not value.is_valid or not len(value):
+        return None
+    word, n = (value.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    order = np.argsort(word.view("u8"))
+    return word.view("u8")[order], n[order]
 
-def shingles(text: str, weights: Weights, n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def shingles(text: str, weights: Weights, n: int, rare: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted, and their TF-IDF weights."""
     w = word_hashes(text)
     if not len(w):
         return w, np.zeros(0)
     n = min(n, len(w))
-    idf = weights.of(w)
+    idf = weights.of(w, rare)
     h, mean = np.zeros(len(w) - n + 1, "u8"), np.zeros(len(w) - n + 1)
     for j in range(n):
         h = mixed(h + w[j : len(w) - n + 1 + j])
@@ -167,8 +188,8 @@ def node_of(norm):
     return F.unhex(F.md5(norm.cast("binary")))
 
 
-def frequencies(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The ``most`` most frequent words of ``texts(norm)``: hashes and document frequencies over all rows, and whether there are more."""
+def counted(texts: DataFrame) -> DataFrame:
+    """``word, n``: hashes and document frequencies of all words of ``texts(norm)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -187,40 +208,81 @@ def frequencies(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bo
         if held:
             yield out()
 
-    by_word = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(by_word: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The ``most`` most frequent words of ``by_word(word, n)``: hashes and document frequencies, and whether there are more."""
     rows = by_word.orderBy(F.desc("n"), "word").limit(most + 1).toArrow()
     word, n = (rows.column(k).to_numpy() for k in ("word", "n"))
     return word[:most].view("u8"), n[:most], len(word) > most
 
 
+def frequencies(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The most frequent words of ``texts(norm)``."""
+    return most_frequent(counted(texts), most)
+
+
+RARE = "array<struct<word:bigint,n:bigint>>"
+
+
+def rare_of(texts: DataFrame, by_word: DataFrame, weights) -> DataFrame:
+    """``_id, _node, rare``: the words of ``texts(doc_id, norm)`` that the table lacks, with their document frequencies."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                each = [np.unique(word_hashes(t.as_py())) for t in part.column(2)]
+                each = [w[~weights.value.known(w)] for w in each]
+                at = pa.array(np.repeat(np.arange(len(each)), [len(w) for w in each]))
+                words = pa.array(np.concatenate(each).view("i8"))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), words], names=["_id", "_node", "word"])
+
+    listed = texts.select("doc_id", node_of(F.col("norm")).alias("node"), "norm").mapInArrow(list_, f"_id {id_type}, _node binary, word long")
+    found = listed.join(by_word.hint("merge"), "word")
+    # rows that repeat id and text give their words once
+    return found.groupBy("_id", "_node").agg(F.collect_set(F.struct("word", "n")).alias("rare"))
+
+
 def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, class_id, class_size, kept, node``: one row a document, the class named by its least id;
     node is the MD5 of the normal form."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", normal_form().alias("norm"))
-    weights = spark.sparkContext.broadcast(Weights(*(f := frequencies(texts.select("norm"), cfg.vocabulary))[:2], docs.count(), f[2]))  # at most ``vocabulary`` entries
+    by_word = written(counted(texts.select("norm")), "words")
+    word, df, full = most_frequent(by_word, cfg.vocabulary)
+    weights = spark.sparkContext.broadcast(Weights(word, df, docs.count(), full))  # at most ``vocabulary`` entries
     sampler = Sampler(cfg)
+    rare = written(rare_of(texts, by_word, weights), "rare") if full else None
+
+    def with_rare(rows: DataFrame) -> DataFrame:
+        """``rows(doc_id, node, ...)`` with their column ``rare``."""
+        if rare is None:
+            return rows.withColumn("rare", F.lit(None).cast(RARE))
+        return rows.join(rare.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left").drop("_id", "_node")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, keys = [], []
-            for t in batch.column(2):
-                h, w = shingles(t.as_py(), weights.value, cfg.words)
+            for t, r in zip(batch.column(2), batch.column(3), strict=True):
+                h, w = shingles(t.as_py(), weights.value, cfg.words, rare_words(r))
                 total.append(float(w.sum()))
                 keys.append(sampler.keys(h, w) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(total), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "weight", "keys"])
 
     node = node_of(F.col("norm"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(texts.select("doc_id", node.alias("node"), "norm").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
+    signed = written(with_rare(texts.select("doc_id", node.alias("node"), "norm")).select("doc_id", "node", "norm", "rare").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
     members = nodes.select(F.explode("keys").alias("key"), "id", F.col("weight").alias("size"))
 
     def fetch(ids: DataFrame) -> DataFrame:
         """Texts of nodes, by the id of their first document; only what is asked for is normalised."""
-        at = nodes.join(ids, "id").select("id", "node", F.col("doc_id").alias("_id"))
-        found = docs.select("doc_id", "text").join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "node", normal_form().alias("norm"))
-        return written(found.where(node_of(F.col("norm")) == F.col("node")).groupBy("id").agg(F.first("norm").alias("norm")), "texts")
+        at = with_rare(nodes.join(ids, "id").select("id", "node", "doc_id")).select("id", "node", "rare", F.col("doc_id").alias("_id"))
+        found = docs.select("doc_id", "text").join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "node", "rare", normal_form().alias("norm"))
+        return written(found.where(node_of(F.col("norm")) == F.col("node")).groupBy("id").agg(F.first("norm").alias("norm"), F.first("rare").alias("rare")), "texts")
 
     roots = link(
         members, fetch, lambda pairs, known: similar(pairs, known, weights, cfg), lambda ids, known: alone(ids, known, weights, cfg), cfg.threshold
@@ -232,20 +294,20 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose ``texts(id, norm)`` are similar enough."""
-    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_text"))
-    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_text"))
+    """The pairs ``(a, b)`` of nodes whose ``texts(id, norm, rare)`` are similar enough."""
+    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_text"), F.col("rare").alias("a_rare"))
+    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_text"), F.col("rare").alias("b_rare"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, tuple] = OrderedDict()
         size = 0
 
-        def of(node: int, text: pa.StringScalar) -> tuple:
+        def of(node: int, text: pa.StringScalar, rare: pa.ListScalar) -> tuple:
             nonlocal size
             if node in known:
                 known.move_to_end(node)
                 return known[node]
-            out = known[node] = shingles(text.as_py(), weights.value, cfg.words)
+            out = known[node] = shingles(text.as_py(), weights.value, cfg.words, rare_words(rare))
             size += len(out[0])
             while size > 2_000_000 and len(known) > 1:
                 size -= len(known.popitem(last=False)[1][0])
@@ -253,10 +315,10 @@ def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFra
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [similarity(of(x, t), of(y, u)) >= cfg.threshold for x, y, t, u in zip(a, b, batch.column(2), batch.column(3), strict=True)]
+            keep = [similarity(of(x, t, r), of(y, u, q)) >= cfg.threshold for x, y, t, u, r, q in zip(a, b, *batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text", "a_rare", "b_rare").mapInArrow(check, "a long, b long")
 
 
 def alone(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
@@ -266,13 +328,13 @@ def alone(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                each = [shingles(t.as_py(), weights.value, cfg.words) for t in part.column(1)]
+                each = [shingles(t.as_py(), weights.value, cfg.words, rare_words(r)) for t, r in zip(part.column(1), part.column(2), strict=True)]
                 n = np.array([len(h) for h, _ in each], "i8")
                 h, w = (np.concatenate([e[k] for e in each]) for k in (0, 1))
                 id_ = part.column(0).take(pa.array(np.repeat(np.arange(len(each)), n)))
                 yield pa.RecordBatch.from_arrays([id_, pa.array(h.view("i8")), pa.array(w.astype("f4"))], names=["id", "shingle", "w"])
 
-    some = texts.join(ids, "id", "left_semi").select("id", "norm")
+    some = texts.join(ids, "id", "left_semi").select("id", "norm", "rare")
     one = some.mapInArrow(spell, "id long, shingle long, w float").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
     # rounded down a little: single precision must not make an own part larger than it is
     total = one.groupBy("id").agg((F.sum(F.col("w").cast("double")) * (1 - 1e-6)).alias("own"))

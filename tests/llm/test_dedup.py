@@ -166,6 +166,31 @@ def test_near_classes_equal_brute_force(spark):
     assert got == dict(enumerate(root))
 
 
+def test_near_classes_do_not_depend_on_the_vocabulary_sent(spark):
+    rng, texts = random.Random(8), []
+    for k in range(10):
+        base = [rng.choice(WORDS) for _ in range(60)]
+        texts.append(base)
+        for edits in (1, 2, 3):
+            t = list(base)
+            for i in rng.sample(range(60), edits):
+                t[i] = f"name{k}of{edits}at{i}"
+            texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = lambda most: {r.node: r.w for r in near_dup.classes(docs, near_dup.Config(vocabulary=most)).selectExpr("node", "class_id AS w").collect()}
+    assert found(5) == found(65_536)
+    by_word = near_dup.counted(docs.select(near_dup.normal_form().alias("norm")))
+    some = near_dup.Weights(*(f := near_dup.most_frequent(by_word, 5))[:2], len(texts), f[2])
+    every = near_dup.Weights(*(f := near_dup.most_frequent(by_word, 65_536))[:2], len(texts), f[2])
+    held = docs.select("doc_id", near_dup.normal_form().alias("norm"))
+    rare = {r._id: r.rare for r in near_dup.rare_of(held, by_word, spark.sparkContext.broadcast(some)).collect()}
+    for r in held.collect():
+        w, n = (near_dup.np.array([x[k] for x in rare[r.doc_id]], "i8") for k in ("word", "n"))
+        order = near_dup.np.argsort(w.view("u8"))
+        got = near_dup.shingles(r.norm, some, 5, (w.view("u8")[order], n[order]))
+        assert near_dup.np.allclose(got[1], near_dup.shingles(r.norm, every, 5)[1])
+
+
 def test_sample_agreement_estimates_weighted_jaccard():
     weights = near_dup.Weights(near_dup.word_hashes("a b"), near_dup.np.array([3, 2]), 10, False)
     sampler = near_dup.Sampler(near_dup.Config(bands=600, rows=1))
