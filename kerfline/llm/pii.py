@@ -40,7 +40,8 @@ DIGIT = re.compile("[0-9]")
 
 # Generators.
 NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9]){6,17}(?![0-9])")
-MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{1,63})+")
+MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE | re.ASCII)
+MAIL_AT = re.compile(r"[\[(] ?at| at ", re.IGNORECASE | re.ASCII)  # what every match of MAIL holds
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 # Words of context that the features count.
@@ -92,7 +93,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if DIGIT.search(text):
         out += [(4, *m.span()) for m in NUMBER.finditer(text)]
         out += [(6, *m.span()) for m in ACCOUNT.finditer(text)]
-    if "dot" in text or "[at]" in text or "(at)" in text:
+    if MAIL_AT.search(text):
         out += [(5, *m.span()) for m in MAIL.finditer(text)]
     return out
 

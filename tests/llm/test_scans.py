@@ -104,3 +104,9 @@ def test_model_adds_personal_numbers_and_leaves_others():
 def test_personal_odd_rows(odd_docs, no_docs):
     assert pii.scan(odd_docs, redacted=True).count() == odd_docs.count()
     assert pii.scan(no_docs).count() == 0
+
+
+def test_spelled_mail_is_proposed_in_every_form_and_case():
+    for mail in ("jane at example.com", "jane [ at ] example.com", "jane [AT] example [DOT] com", "jane(At)example.org", "jane AT example DOT com"):
+        text = f"reach {mail} today"
+        assert (5, 6, 6 + len(mail)) in pii.candidates(text), mail
