@@ -13,15 +13,13 @@ BLANK = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the session names in spark.checkpoint.dir. Where none is named, a temporary one if all runs on this machine, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        named = tempfile.mkdtemp(prefix="kerfline-")
-        spark.sparkContext.setCheckpointDir(named)
-        return spark.sparkContext.getCheckpointDir() or named
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kerfline-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named
 
 
@@ -33,17 +31,41 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor
-    costs the reading stage only. Its shuffle files go when the table is complete."""
-    spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
-    try:
+class Scratch:
+    """Tables written to the shared folder and read back: lineage ends there, so a lost executor costs the reading stage only.
+
+    The first table switches the session's ``TIDY`` on for good. ``drop`` removes tables that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, fresh_path(spark, label)
+        self.at: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        if self.spark.conf.get(TIDY, "false") != "true":
+            self.spark.conf.set(TIDY, "true")
+        path = f"{self.path}/{len(self.at)}-{label}"
         df.write.parquet(path)
-    finally:
-        spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.at[len(self.at)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._delete([p for t, p in self.at.values() if any(t is x for x in tables)])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        self._delete([p for t, p in self.at.values() if not any(t is x for x in tables)])
+
+    def _delete(self, paths: list[str]) -> None:
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """One table by itself."""
+    return Scratch(df.sparkSession, label).written(df, label)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

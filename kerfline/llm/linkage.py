@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerfline.llm.common import written
+from kerfline.llm.common import Scratch
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -30,35 +30,36 @@ def _settled(edges: DataFrame) -> bool:
     return by_node.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` to ``id, root``: root is the least id of the component. Ids without an edge do not appear."""
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    now = scratch.written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     for _ in range(rounds):
         if _settled(now):
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        least = scratch.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        now = written(large.where(F.col("hi") != F.col("lo")).distinct(), "large")
+        now = scratch.written(large.where(F.col("hi") != F.col("lo")).distinct(), "large")
         down = now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = scratch.written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        now = written(small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where(F.col("hi") != F.col("lo")).distinct(), "small")
+        now = scratch.written(small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where(F.col("hi") != F.col("lo")).distinct(), "small")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("root"))).distinct()
 
 
-def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+def joined(roots: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Components ``id, root`` with further edges put in: only roots and new ids go through the rounds again."""
     end = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
     tops = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    tops = written(tops.where(F.col("a") != F.col("b")).distinct(), "tops")
+    tops = scratch.written(tops.where(F.col("a") != F.col("b")).distinct(), "tops")
     if tops.isEmpty():
         return roots
-    over = written(components(tops), "over")
+    over = scratch.written(components(tops, scratch), "over")
     moved = roots.join(over.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    return written(moved.unionByName(over.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
+    return scratch.written(moved.unionByName(over.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -66,39 +67,41 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable | None, threshold: float) -> DataFrame:
+def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable | None, threshold: float, scratch: Scratch) -> DataFrame:
     """``members(key, id, size)`` with numbers for ids, at most one row a key and id, to the components ``id, root`` of similar ids.
 
     ``fetch(ids)`` gets what is to be compared, once for all ids that share a key with another. ``verify(pairs, what)``
     returns those of the pairs ``(a, b)`` that are similar, ``own(ids, what)`` each id's ``own`` size among these ids.
     Similarity is at most what two have in common over all they have; without ``own`` it is at most the smaller size over the larger."""
-    heads = written(members.groupBy("key").agg(F.min("id").alias("head"), F.min_by("size", "id").alias("head_size"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
-    held = written(members.join(heads.hint("merge"), "key").select("key", "id", "size", "head", "head_size"), "held")
+    shared = scratch.written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    held = scratch.written(members.join(shared.hint("merge"), "key"), "held")
+    heads = scratch.written(held.groupBy("key").agg(F.min("id").alias("head"), F.min_by("size", "id").alias("head_size")), "heads")
     what = fetch(held.select("id").distinct())
     near = F.least("size", "head_size") >= threshold * F.greatest("size", "head_size")
-    first = written(held.where((F.col("id") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    roots = written(components(written(verify(first, what).select("a", "b"), "links")), "roots")
+    first = scratch.written(held.join(heads.hint("merge"), "key").where((F.col("id") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    roots = scratch.written(components(scratch.written(verify(first, what).select("a", "b"), "links"), scratch), "roots")
 
     # Keys with more than one component.
-    placed = written(_rooted(held.select("key", "id", "size"), roots), "placed")
-    split = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "split-keys")
-    rest = written(placed.join(split, "key", "left_semi"), "rest")
+    placed = scratch.written(_rooted(held.select("key", "id", "size"), roots), "placed")
+    split = scratch.written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "split-keys")
+    rest = placed.join(split, "key", "left_semi")
     if own is None:
         rest = rest.withColumn("own", F.lit(0.0))
     else:
-        rest = rest.join(written(own(rest.select("id").distinct(), what), "own"), "id").where(F.col("own") <= (1 - threshold) * F.col("size"))
-    rest = written(rest, "rest")
-    central = written(rest.groupBy("key").agg(F.min(F.struct((F.col("own") / F.greatest("size", F.lit(1e-12))).alias("share"), "id", "size", "own", "root")).alias("h")), "central")
+        rest = scratch.written(rest, "rest")
+        rest = rest.join(scratch.written(own(rest.select("id").distinct(), what), "own"), "id").where(F.col("own") <= (1 - threshold) * F.col("size"))
+    rest = scratch.written(rest, "rest")
+    central = scratch.written(rest.groupBy("key").agg(F.min(F.struct((F.col("own") / F.greatest("size", F.lit(1e-12))).alias("share"), "id", "size", "own", "root")).alias("h")), "central")
     beside = rest.join(central, "key").where((F.col("root") != F.col("h.root")) & _possible("size", "own", "h.size", "h.own", threshold, own is not None))
-    second = written(beside.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), "pairs")
-    roots = joined(roots, written(verify(second, what).select("a", "b"), "links"))
+    second = scratch.written(beside.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), "pairs")
+    roots = joined(roots, scratch.written(verify(second, what).select("a", "b"), "links"), scratch)
 
     # Members outside the component of their key's most central one.
-    placed = written(_rooted(rest.drop("root"), roots), "placed")
-    tops = written(_rooted(central.select("key", F.col("h.id").alias("id")), roots).select("key", F.col("id").alias("head"), F.col("root").alias("head_root")), "tops")
-    there = written(placed.join(tops, "key").select("key", "id", "size", "own", "root", (F.col("root") == F.col("head_root")).alias("main"), (F.col("id") == F.col("head")).alias("tested")), "there")
+    placed = scratch.written(_rooted(rest.drop("root"), roots), "placed")
+    tops = scratch.written(_rooted(central.select("key", F.col("h.id").alias("id")), roots).select("key", F.col("id").alias("head"), F.col("root").alias("head_root")), "tops")
+    there = scratch.written(placed.join(tops, "key").select("key", "id", "size", "own", "root", (F.col("root") == F.col("head_root")).alias("main"), (F.col("id") == F.col("head")).alias("tested")), "there")
     # A pair that shares several keys is met under the least of them only.
-    there = written(there.join(written(there.groupBy("id").agg(F.collect_set("key").alias("keys")), "key-sets"), "id"), "there")
+    there = scratch.written(there.join(scratch.written(there.groupBy("id").agg(F.collect_set("key").alias("keys")), "key-sets"), "id"), "there")
     out = there.where("NOT main").select("key", "id", "size", "own", "root", "keys")
     other = there.where("NOT tested").select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "own", "root", "main", "keys")))
     least = F.array_min(F.array_intersect("keys", "b_keys")) == F.col("key")
@@ -107,7 +110,7 @@ def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable |
         .where((F.col("root") != F.col("b_root")) & (F.col("b_main") | (F.col("id") < F.col("b_id"))) & _possible("size", "own", "b_size", "b_own", threshold, own is not None) & least)
         .select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
     )
-    return joined(roots, written(verify(written(more, "pairs"), what).select("a", "b"), "links"))
+    return joined(roots, scratch.written(verify(scratch.written(more, "pairs"), what).select("a", "b"), "links"), scratch)
 
 
 def _possible(size: str, own: str, other: str, other_own: str, threshold: float, by_share: bool):
