@@ -10,7 +10,10 @@ from pyspark.sql.window import Window as W
 DEPTH = r"(?i)depth([0-9]+(?:[.,][0-9]+)?)"
 DEPTH_SPACED = r"(?i)depth\s*([0-9]+(?:[.,][0-9]+)?)"
 STEP = r"(?i)__step([0-9]+)__"
-HOLES = (r"(?i)__([A-Z][0-9]+)__", r"(?i)hole=([A-Z][0-9]+)", r"(?i)(?:^|_)([A-Z][0-9]+)(?:_|$)")
+HOLES = (r"(?i)hole_([A-Z]\d+)", r"(?i)__([A-Z]\d+)__", r"(?i)\b([A-Z]\d+)\b")
+TOKEN = r"(?:(?!__).)*+"
+#: Of the tokens between double underscores, what follows ``step`` in the first that begins so, and the token after it with its underscores.
+STEP_TOKEN = rf"(?is)^(?:{TOKEN}__)*?step({TOKEN})(__{TOKEN})?"
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -25,7 +28,12 @@ def slug(text: Column) -> Column:
 
 def number_in_name(x: Column, digits: int = 3) -> Column:
     text = F.replace(F.format_string(f"%.{digits}f", x), F.lit("-"), F.lit("m"))
-    return F.when(x.isNull() | F.isnan(x), "NA").otherwise(text)
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "NA").otherwise(text)
+
+
+def padded(n: Column) -> Column:
+    """At least three digits, longer numbers whole; null stays null."""
+    return F.when(n.isNotNull(), F.format_string("%03d", n))
 
 
 def depth(name: Column, pattern: str = DEPTH) -> Column:
@@ -45,30 +53,26 @@ def hole(name: Column) -> Column:
 
 
 def file_name(stem: Column, segment: Column, step: Column, hole: Column, depth: Column, suffix: str) -> Column:
-    padded = lambda x: F.coalesce(F.lpad(x.cast("string"), 3, "0"), F.lit("NA"))
-    return F.concat(stem, F.lit("__seg"), F.lpad(segment.cast("string"), 3, "0"), F.lit("__step"), padded(step), F.lit("__"), F.coalesce(hole, F.lit("NA")), F.lit("__depth"), number_in_name(depth), F.lit(suffix))
+    place = F.when(hole.isNull(), "NA").otherwise(slug(hole))
+    return F.concat(stem, F.lit("__seg"), padded(segment), F.lit("__step"), F.coalesce(padded(step), F.lit("NA")), F.lit("__"), place, F.lit("__depth"), number_in_name(depth), F.lit(suffix))
 
 
 def fusion_key(name: Column) -> Column:
     """``step=007__hole=B2`` from the first token with ``step`` and the one after it; degraded forms where a part is missing."""
-    tokens = F.split(name, "__")
-    at = F.array_position(F.transform(tokens, lambda t: F.lower(t).startswith("step")), True).cast("int")
-    number = F.try_element_at(tokens, F.when(at > 0, at))
-    n = F.substring(number, 5, 100).try_cast("int")
-    place = F.nullif(F.try_element_at(tokens, F.when(at > 0, at + 1)), F.lit(""))
-    shown = F.when(n.isNotNull(), F.concat(F.lit("step="), F.lpad(n.cast("string"), 3, "0")))
-    spot = F.when(place.isNotNull(), F.concat(F.lit("hole="), place))
-    return F.when(shown.isNull() & spot.isNull(), name).otherwise(F.concat_ws("__", shown, spot))
+    n = F.regexp_extract(name, STEP_TOKEN, 1).try_cast("int")
+    place = F.regexp_extract(name, STEP_TOKEN, 2)
+    shown, spot = F.concat(F.lit("step="), padded(n)), F.when(place != "", F.concat(F.lit("hole="), F.substring(place, 3, 1 << 20)))
+    return F.when(n.isNull() & (place == ""), name).otherwise(F.concat_ws("__", shown, spot))
 
 
 def long_keys(rows: DataFrame, name: str, order: str) -> DataFrame:
     """``key_long``: the rank of the run before the fusion key, repeats numbered in row order."""
-    short = fusion_key(F.col(name))
-    # Runs are ranked over their distinct names, not over all rows.
+    # Runs are ranked over their distinct names, not over all rows; the ranks' side is as large as there are runs, so Spark chooses the join.
     runs = rows.select(root(F.col(name)).alias("_run")).distinct().withColumn("_rank", F.dense_rank().over(W.orderBy("_run")))
-    keyed = rows.withColumn("_run", root(F.col(name))).join(runs, "_run").withColumn("_key", F.concat(F.lit("run="), F.lpad(F.col("_rank").cast("string"), 3, "0"), F.lit("__"), short))
+    keyed = rows.withColumn("_run", root(F.col(name))).join(runs, "_run").withColumn("_key", F.concat(F.lit("run="), padded(F.col("_rank")), F.lit("__"), fusion_key(F.col(name))))
     nth = F.row_number().over(W.partitionBy("_key").orderBy(order))
-    return keyed.withColumn("_n", nth).withColumn("key_long", F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("__occ"), F.lpad(F.col("_n").cast("string"), 3, "0")))).drop("_run", "_rank", "_key", "_n")
+    key = F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("__occ"), padded(F.col("_n"))))
+    return keyed.withColumn("_n", nth).withColumn("key_long", key).drop("_run", "_rank", "_key", "_n")
 
 
 def snapped(x: Column, step: float) -> Column:

@@ -62,7 +62,7 @@ WITH {views.RECORD_NAMES}
 SELECT row_idx, record_name, split_part(record_name, '__seg', 1) AS recording_root,
        try_cast(replace(nullif(regexp_extract(record_name, '(?i)depth([0-9]+(?:[.,][0-9]+)?)', 1), ''), ',', '.') AS DOUBLE) AS depth_mm,
        coalesce(try_cast(nullif(regexp_extract(record_name, '(?i)__step([0-9]+)__', 1), '') AS INTEGER), -1) AS step_idx,
-       upper(coalesce(nullif(regexp_extract(record_name, '(?i)__([A-Z][0-9]+)__', 1), ''), nullif(regexp_extract(record_name, '(?i)hole=([A-Z][0-9]+)', 1), ''), nullif(regexp_extract(record_name, '(?i)(?:^|_)([A-Z][0-9]+)(?:_|$)', 1), ''))) AS hole_id
+       {views.HOLE_SQL} AS hole_id
 FROM rn
 """)
 def names_parse(spark, sf_dir):
@@ -70,8 +70,8 @@ def names_parse(spark, sf_dir):
     return views.record_names(spark, sf_dir).select("row_idx", "record_name", names.root(n).alias("recording_root"), names.depth(n).alias("depth_mm"), F.coalesce(names.step(n), F.lit(-1)).alias("step_idx"), names.hole(n).alias("hole_id"))
 
 
-_KEY = """CASE WHEN try_cast(regexp_extract(record_name, '__step([^_]*)__', 1) AS INTEGER) IS NULL THEN 'hole=' || regexp_extract(record_name, '__step[^_]*__([^_]+)', 1)
-  ELSE 'step=' || lpad(regexp_extract(record_name, '__step([^_]*)__', 1), 3, '0') || '__hole=' || regexp_extract(record_name, '__step[^_]*__([^_]+)', 1) END"""
+_KEY = """CASE WHEN try_cast(regexp_extract(record_name, '__step([^_]*)__', 1) AS INTEGER) IS NULL THEN 'hole=' || regexp_extract(record_name, '__step[^_]*__(.+)__depth', 1)
+  ELSE 'step=' || printf('%03d', CAST(regexp_extract(record_name, '__step([^_]*)__', 1) AS INTEGER)) || '__hole=' || regexp_extract(record_name, '__step[^_]*__(.+)__depth', 1) END"""
 
 
 @query("fusion_keys", f"WITH {views.RECORD_NAMES} SELECT row_idx, {_KEY} AS key FROM rn")
@@ -81,9 +81,9 @@ def fusion_keys(spark, sf_dir):
 
 @query("canonical_long_keys", f"""
 WITH {views.RECORD_NAMES},
-k AS (SELECT row_idx, 'run=' || lpad(CAST(dense_rank() OVER (ORDER BY split_part(record_name, '__seg', 1)) AS VARCHAR), 3, '0') || '__' || {_KEY} AS key FROM rn),
+k AS (SELECT row_idx, 'run=' || printf('%03d', dense_rank() OVER (ORDER BY split_part(record_name, '__seg', 1))) || '__' || {_KEY} AS key FROM rn),
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_idx) AS nth FROM k)
-SELECT row_idx, CASE WHEN nth = 1 THEN key ELSE key || '__occ' || CASE WHEN nth < 1000 THEN lpad(CAST(nth AS VARCHAR), 3, '0') ELSE left(CAST(nth AS VARCHAR), 3) END END AS key_long FROM n
+SELECT row_idx, CASE WHEN nth = 1 THEN key ELSE key || '__occ' || printf('%03d', nth) END AS key_long FROM n
 """)
 def canonical_long_keys(spark, sf_dir):
     return names.long_keys(views.record_names(spark, sf_dir), "record_name", "row_idx").select("row_idx", "key_long")
@@ -101,12 +101,12 @@ def name_slugs(spark, sf_dir):
 
 @query("snap_to_grid", f"""
 WITH {views.PREDICTIONS}
-SELECT record, round(round_even(y_pred / 0.1::DOUBLE, 0) * 0.1::DOUBLE, 6) + 0.0 AS snapped, round(least(greatest(round_even(y_pred / 0.1::DOUBLE, 0) * 0.1::DOUBLE, 0.1), 1.0), 6) AS clamped FROM p
+SELECT record, round(round_even(y_pred / 0.1::DOUBLE, 0) * 0.1::DOUBLE, 6) + 0.0 AS snapped, CASE WHEN y_pred IS NOT NULL THEN round(least(greatest(round_even(y_pred / 0.1::DOUBLE, 0) * 0.1::DOUBLE, 0.1), 1.0), 6) END AS clamped FROM p
 """)
 def snap_to_grid(spark, sf_dir):
     s = names.snapped(F.col("y_pred"), 0.1)
     clamped = F.when(F.col("y_pred").isNotNull(), F.least(F.greatest(s, F.lit(0.1)), F.lit(1.0)))
-    return views.predictions(spark, sf_dir).select("record", (F.round(s, 6) + 0.0).alias("snapped"), F.round(F.coalesce(clamped, F.lit(0.1)), 6).alias("clamped"))
+    return views.predictions(spark, sf_dir).select("record", (F.round(s, 6) + 0.0).alias("snapped"), F.round(clamped, 6).alias("clamped"))
 
 
 @query("regression_report", f"""

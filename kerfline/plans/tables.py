@@ -141,7 +141,7 @@ def confidence_mix(spark, sf_dir):
 
 
 @query("hole_grid", f"""
-WITH {views.RECORD_NAMES}, h AS (SELECT upper(nullif(regexp_extract(record_name, '(?i)__([A-Z][0-9]+)__', 1), '')) AS hole, row_idx FROM rn)
+WITH {views.RECORD_NAMES}, h AS (SELECT {views.HOLE_SQL} AS hole, row_idx FROM rn)
 SELECT substr(hole, 1, 1) AS "row", round(avg(row_idx) FILTER (substr(hole, 2) = '1'), 4) AS "1", round(avg(row_idx) FILTER (substr(hole, 2) = '2'), 4) AS "2", round(avg(row_idx) FILTER (substr(hole, 2) = '3'), 4) AS "3", round(avg(row_idx) FILTER (substr(hole, 2) = '4'), 4) AS "4" FROM h WHERE hole IS NOT NULL GROUP BY 1
 """)
 def hole_grid(spark, sf_dir):

@@ -17,7 +17,7 @@ SCALE = 499979.0
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three prediction bundles over ``orders``, with missing rows, values and sigmas, and repeated records."""
+    """Two prediction bundles over ``orders``, with missing rows, values and sigmas, and records of the second that come again."""
     o = table(spark, sf_dir, "orders")
     k, c, t = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice") / SCALE
     a = o.select(F.lit("a").alias("modality"), F.lit(0.0163).alias("validation_mae"), k.cast("string").alias("record_name"), k.alias("row_idx"), F.when(k % 11 != 0, t + ((k % 7) - 3) * 0.0613).alias("y_pred"), F.lit(0.02).alias("sigma"), t.alias("y_true"))
@@ -54,23 +54,30 @@ p AS (SELECT o_orderkey AS record, o_orderkey % 9 AS run, CAST(round_even(o_tota
 
 
 def record_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` as record names: run, segment, step, hole and depth; some parts missing."""
+    """``orders`` as record names: run, segment, step, hole and depth; some parts missing, some numbers beyond three digits, some holes
+    that need a slug, and a fifth of all records in one run, step and hole."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    step = F.when(k % 23 != 0, (k % 40).cast("int"))
-    hole = F.when(k % 29 != 0, F.concat(F.element_at(F.array(*map(F.lit, "ABC")), ((k % 3) + 1).cast("int")), ((k % 8) + 1).cast("string")))
+    run = F.when(k % 5 == 0, 0).otherwise(F.col("o_custkey") % 7)
+    step = F.when(k % 5 == 0, 12).when(k % 23 != 0, (k % 1040).cast("int"))
+    hole = F.when(k % 5 == 0, "D1").when(k % 41 == 0, "d 4").when(k % 29 != 0, F.concat(F.element_at(F.array(*map(F.lit, "ABC")), ((k % 3) + 1).cast("int")), ((k % 8) + 1).cast("string")))
     depth = F.when(k % 31 != 0, (k % 11) / F.lit(8.0))
-    name = names.file_name(F.concat(F.lit("run_"), (F.col("o_custkey") % 7).cast("string")), (k % 25).cast("int"), step, hole, depth, ".flac")
-    return o.select(k.alias("row_idx"), name.alias("record_name"))
+    stem = F.concat(F.lit("run_"), run.cast("string"), F.when(k % 43 == 0, "_hole_e5").otherwise(""))
+    return o.select(k.alias("row_idx"), names.file_name(stem, (k % 1250).cast("int"), step, hole, depth, ".flac").alias("record_name"))
 
 
 RECORD_NAMES = """
-rn AS (SELECT o_orderkey AS row_idx, 'run_' || (o_custkey % 7) || '__seg' || lpad(CAST(o_orderkey % 25 AS VARCHAR), 3, '0') || '__step' ||
-         CASE WHEN o_orderkey % 23 <> 0 THEN lpad(CAST(o_orderkey % 40 AS VARCHAR), 3, '0') ELSE 'NA' END || '__' ||
-         CASE WHEN o_orderkey % 29 <> 0 THEN substr('ABC', CAST(o_orderkey % 3 AS INTEGER) + 1, 1) || ((o_orderkey % 8) + 1) ELSE 'NA' END || '__depth' ||
+rn AS (SELECT o_orderkey AS row_idx, 'run_' || CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_custkey % 7 END || CASE WHEN o_orderkey % 43 = 0 THEN '_hole_e5' ELSE '' END ||
+         '__seg' || printf('%03d', o_orderkey % 1250) || '__step' ||
+         CASE WHEN o_orderkey % 5 = 0 THEN '012' WHEN o_orderkey % 23 <> 0 THEN printf('%03d', o_orderkey % 1040) ELSE 'NA' END || '__' ||
+         CASE WHEN o_orderkey % 5 = 0 THEN 'D1' WHEN o_orderkey % 41 = 0 THEN 'd_4' WHEN o_orderkey % 29 <> 0 THEN substr('ABC', CAST(o_orderkey % 3 AS INTEGER) + 1, 1) || ((o_orderkey % 8) + 1) ELSE 'NA' END || '__depth' ||
          CASE WHEN o_orderkey % 31 <> 0 THEN printf('%.3f', (o_orderkey % 11) / 8.0::DOUBLE) ELSE 'NA' END || '.flac' AS record_name FROM orders)"""
 
 
+#: A record name's hole, by the three patterns in their order.
+HOLE_SQL = r"""upper(coalesce(nullif(regexp_extract(record_name, '(?i)hole_([A-Z]\d+)', 1), ''), nullif(regexp_extract(record_name, '(?i)__([A-Z]\d+)__', 1), ''), nullif(regexp_extract(record_name, '(?i)\b([A-Z]\d+)\b', 1), '')))"""
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as one signal a user: ``rec, i, t, x``; i runs from 0 by (ts, event_id)."""
     e = table(spark, sf_dir, "events")

@@ -136,3 +136,26 @@ def test_geometry(spark):
     got = {r.hole_id: r for r in tables.with_geometry(spark.createDataFrame([("A1",), ("Z9",)], "hole_id string"), holes, 0.0, 0.0).collect()}
     assert got["A1"].mic_r == 5.0 and got["A1"].mic_log_r == pytest.approx(np.log(5))
     assert got["Z9"].mic_r is None and got["Z9"].mic_log_r is None
+
+
+def test_names_follow_the_naming_rules(spark):
+    rows = [
+        ("hole_B2__C3__x", "B2"), ("run_A1_x", None), ("a__c3__b", "C3"), ("a-d4-b", "D4"), ("hole=E5", "E5"), (None, None),
+    ]
+    got = spark.createDataFrame(rows, "name string, want string").withColumn("got", names.hole(F.col("name"))).collect()
+    assert all(r.got == r.want for r in got), got
+    keys = {
+        "r__seg1__step7__B2__d": "step=007__hole=B2", "r__step1234__B2": "step=1234__hole=B2", "r__stepNA__B2": "hole=B2", "r__step5": "step=005", "r__STEP6__": "step=006__hole=", "plain": "plain", "a___step7__B": "a___step7__B",
+    }
+    got = spark.createDataFrame([(k,) for k in keys], "name string").withColumn("got", names.fusion_key(F.col("name"))).collect()
+    assert {r.name: r.got for r in got} == keys
+    one = spark.range(1).select(
+        names.file_name(F.lit("r"), F.lit(1200), F.lit(1001), F.lit("b 2"), F.lit(-1.5), ".wav").alias("a"), names.file_name(F.lit("r"), F.lit(2), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(float("inf")), "").alias("b"),
+    ).first()
+    assert one.a == "r__seg1200__step1001__b_2__depthm1.500.wav" and one.b == "r__seg002__stepNA__NA__depthNA"
+
+
+def test_long_keys_are_unique_beyond_a_thousand_repeats(spark):
+    rows = spark.range(1200).select(F.col("id"), F.lit("run__seg001__step003__A1__depth1").alias("name"))
+    got = [r.key_long for r in names.long_keys(rows, "name", "id").collect()]
+    assert len(set(got)) == 1200 and "run=001__step=003__hole=A1" in got and "run=001__step=003__hole=A1__occ1200" in got
