@@ -1,9 +1,10 @@
 """From shared keys to connected groups, without all pairs of a key's members.
 
 ``link`` goes in three rounds over the members of each key. First each is compared with the key's first member. Of keys
-that still hold more than one component, each member is then compared with the most central one. What lies outside
-that one's component is at last compared with all members outside its own. What is never compared is a pair that lies in
-one component already, or one that a bound rules out, so groups are those of all pairs that share a key.
+that still hold more than one component, each member is then compared with the most central one. What is left are members of
+keys with components apart. Where ``rare`` can say so, those of them are compared that can be similar at all (a filter on rare parts, see
+``near_dup.rare_pairs``); else what lies outside the central one's component with all members outside its own. What is never compared is a pair
+that lies in one component already, or one that a bound rules out, so groups are those of all pairs that share a key.
 
 The bound: a member's ``own`` size is what no other compared member has. Two members have in common at most the smaller
 rest, so their similarity, common over all, can be told to stay below the threshold. A member whose own part
@@ -67,11 +68,12 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable | None, threshold: float, scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable | None, threshold: float, scratch: Scratch, rare: Callable | None = None) -> DataFrame:
     """``members(key, id, size)`` with numbers for ids, at most one row a key and id, to the components ``id, root`` of similar ids.
 
     ``fetch(ids)`` gets what is to be compared, once for all ids that share a key with another. ``verify(pairs, what)``
-    returns those of the pairs ``(a, b)`` that are similar, ``own(ids, what)`` each id's ``own`` size among these ids.
+    returns those of the pairs ``(a, b)`` that are similar, ``own(ids, what)`` each id's ``own`` size among these ids,
+    ``rare(rows, what)`` the pairs of ``rows(id, size, own, root)`` with different roots that can be similar.
     Similarity is at most what two have in common over all they have; without ``own`` it is at most the smaller size over the larger."""
     shared = scratch.written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     held = scratch.written(members.join(shared.hint("merge"), "key"), "held")
@@ -96,6 +98,9 @@ def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable |
     second = scratch.written(beside.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), "pairs")
     roots = joined(roots, scratch.written(verify(second, what).select("a", "b"), "links"), scratch)
 
+    if rare is not None:
+        apart = _rooted(rest.select("id", "size", "own").distinct(), roots)
+        return joined(roots, scratch.written(verify(scratch.written(rare(scratch.written(apart, "apart"), what), "pairs"), what).select("a", "b"), "links"), scratch)
     # Members outside the component of their key's most central one.
     placed = scratch.written(_rooted(rest.drop("root"), roots), "placed")
     tops = scratch.written(_rooted(central.select("key", F.col("h.id").alias("id")), roots).select("key", F.col("id").alias("head"), F.col("root").alias("head_root")), "tops")

@@ -2,16 +2,16 @@
 
 A text is lower-cased, and characters that are neither letters nor digits separate words. Shingles are five words (all of them, if
 there are fewer); a shingle weighs its count in the text times its IDF, the mean over its words of
-``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document frequencies are counted over all documents and exact for every word: those of the
-``vocabulary`` most frequent words are sent to all tasks, those of rarer words are joined to each text that holds them. IDF is by word since a shingle's own frequency
-would take weight from exactly what a large group of copies shares.
+``1 + ln(min(N / df, rarest)) / ln(rarest)``. Document frequencies are counted over all documents. A word that fewer than one in ``rarest`` documents
+hold weighs 2, whatever the corpus' size, so only the words above that share need a table; there are fewer of them than ``rarest`` times the
+mean number of distinct words in a document, and that table, checked against ``most_words``, is sent to all tasks. IDF is by word since a shingle's own
+frequency would take weight from exactly what a large group of copies shares.
 
 Consistent weighted samples (one element and level for each of ``bands * rows`` draws) agree between two texts
 with the probability of their weighted Jaccard similarity. The samples of a band make a key; texts that share a
 key are linked by ``linkage.link``, each pair verified by its exact weighted Jaccard similarity.
 
-Per draw, an element's random triple (r, beta, c) is picked from a fixed list of 8,192 by a hash of the
-element; of elements with one triple and weight the first by hash counts as the least.
+An element's random numbers of a draw come from its hash: 13 bits of it pick (r, beta), 13 others c, each out of 8,192 drawn from their distributions.
 
 Texts with the same words are one node from the start. Defined results: null and empty texts and texts without a word
 are one class; repeated rows are in the class of their text; a null id takes part, and names a class only where
@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from kerfline.llm.common import text_or_empty, written
+from kerfline.llm.common import Scratch, text_or_empty
 from kerfline.llm.linkage import link
 
 
@@ -39,11 +40,12 @@ class Config:
     threshold: float = 0.8
     bands: int = 14
     rows: int = 4
-    vocabulary: int = 65_536
+    rarest: int = 1024
+    most_words: int = 1 << 22
     seed: int = 5
 
 
-TRIPLES = 1 << 13
+TRIPLES = 1 << 13  # entries of the tables of random numbers
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 
@@ -83,51 +85,27 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 class Weights:
-    """IDF by word from a bounded table of document frequencies; ``full`` says that there are more words, whose frequencies come with each text."""
+    """IDF by word from a table of the words that more than one in ``rarest`` documents hold; all others weigh 2."""
 
-    def __init__(self, hashes: np.ndarray, df: np.ndarray, docs: int, full: bool):
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, docs: int, rarest: int):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        scale = np.log(1 + max(1, docs))
-        self.full, self.docs, self.scale = full, max(0, docs), scale
-        self.idf = self._idf(df[order])
-        self.once = float(self._idf(np.ones(1))[0])
+        self.idf = 1 + np.log(np.clip(docs / np.maximum(df[order], 1), 1, rarest)) / np.log(rarest)
 
-    def _idf(self, df: np.ndarray) -> np.ndarray:
-        return 1 + np.log((1 + self.docs) / (1 + df.astype("f8"))) / self.scale
-
-    def known(self, words: np.ndarray) -> np.ndarray:
-        """Which words the table holds."""
+    def of(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return np.zeros(len(words), bool)
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)] == words
-
-    def of(self, words: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """IDF of the words of a text, ``rare`` being those of its words that the table lacks and their document frequencies."""
-        out = np.full(len(words), self.once)
-        for hashes, idf in ((self.hashes, self.idf), *(((rare[0], self._idf(rare[1])),) if rare else ())):
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-                out = np.where(hashes[at] == words, idf[at], out)
-        return out
-
+            return np.full(len(words), 2.0)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.idf[at], 2.0)
 
-def rare_words(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray] | None:
-    """A text's column ``rare`` as hashes, sorted, and document frequencies."""
-    if not value.is_valid or not len(value):
-        return None
-    word, n = (value.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    order = np.argsort(word.view("u8"))
-    return word.view("u8")[order], n[order]
 
-
-def shingles(text: str, weights: Weights, n: int, rare: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str, weights: Weights, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted, and their TF-IDF weights."""
     w = word_hashes(text)
     if not len(w):
         return w, np.zeros(0)
     n = min(n, len(w))
-    idf = weights.of(w, rare)
+    idf = weights.of(w)
     h, mean = np.zeros(len(w) - n + 1, "u8"), np.zeros(len(w) - n + 1)
     for j in range(n):
         h = mixed(h + w[j : len(w) - n + 1 + j])
@@ -155,10 +133,11 @@ class Sampler:
         ln = np.log(weight).astype("f4")
         for s in range(0, len(h), 2048):
             part = h[s : s + 2048]
-            at = ((part[None] * self.by) >> np.uint64(51)).view("i8")
-            r, beta = self.r.take(at), self.beta.take(at)
+            x = part[None] * self.by
+            at = (x >> np.uint64(51)).view("i8")
+            r, beta = self.r.take(at, mode="clip"), self.beta.take(at, mode="clip")
             t = np.floor(ln[s : s + 2048] / r + beta)
-            ln_a = self.ln_c.take(at) - r * (t - beta + 1)
+            ln_a = self.ln_c.take(((x >> np.uint64(38)) & np.uint64(TRIPLES - 1)).view("i8"), mode="clip") - r * (t - beta + 1)
             i = ln_a.argmin(1)
             low = ln_a[np.arange(k), i]
             new = low < best
@@ -211,103 +190,70 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(by_word: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The ``most`` most frequent words of ``by_word(word, n)``: hashes and document frequencies, and whether there are more."""
-    rows = by_word.orderBy(F.desc("n"), "word").limit(most + 1).toArrow()
+def frequent(by_word: DataFrame, docs: int, cfg: Config) -> Weights:
+    """Weights from ``by_word(word, n)``; only words above the share that ``cfg.rarest`` names are gathered."""
+    rows = by_word.where(F.col("n") * cfg.rarest > docs).limit(cfg.most_words + 1).toArrow()
+    if rows.num_rows > cfg.most_words:
+        raise ValueError(f"more than {cfg.most_words} words are in over one of {cfg.rarest} documents; take a smaller rarest")
     word, n = (rows.column(k).to_numpy() for k in ("word", "n"))
-    return word[:most].view("u8"), n[:most], len(word) > most
-
-
-def frequencies(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The most frequent words of ``texts(norm)``."""
-    return most_frequent(counted(texts), most)
-
-
-RARE = "array<struct<word:bigint,n:bigint>>"
-
-
-def rare_of(texts: DataFrame, by_word: DataFrame, weights) -> DataFrame:
-    """``_id, _node, rare``: the words of ``texts(doc_id, norm)`` that the table lacks, with their document frequencies."""
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                each = [np.unique(word_hashes(t.as_py())) for t in part.column(2)]
-                each = [w[~weights.value.known(w)] for w in each]
-                at = pa.array(np.repeat(np.arange(len(each)), [len(w) for w in each]))
-                words = pa.array(np.concatenate(each).view("i8"))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), words], names=["_id", "_node", "word"])
-
-    listed = texts.select("doc_id", node_of(F.col("norm")).alias("node"), "norm").mapInArrow(list_, f"_id {id_type}, _node binary, word long")
-    found = listed.join(by_word.hint("merge"), "word")
-    # rows that repeat id and text give their words once
-    return found.groupBy("_id", "_node").agg(F.collect_set(F.struct("word", "n")).alias("rare"))
+    return Weights(word.view("u8"), n, docs, cfg.rarest)
 
 
 def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, class_id, class_size, kept, node``: one row a document, the class named by its least id;
     node is the MD5 of the normal form."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "near-dup")
     texts = docs.select("doc_id", normal_form().alias("norm"))
-    by_word = written(counted(texts.select("norm")), "words")
-    word, df, full = most_frequent(by_word, cfg.vocabulary)
-    weights = spark.sparkContext.broadcast(Weights(word, df, docs.count(), full))  # at most ``vocabulary`` entries
+    by_word = scratch.written(counted(texts.select("norm")), "words")
+    weights = spark.sparkContext.broadcast(frequent(by_word, docs.count(), cfg))  # at most ``most_words`` entries
     sampler = Sampler(cfg)
-    rare = written(rare_of(texts, by_word, weights), "rare") if full else None
-
-    def with_rare(rows: DataFrame) -> DataFrame:
-        """``rows(doc_id, node, ...)`` with their column ``rare``."""
-        if rare is None:
-            return rows.withColumn("rare", F.lit(None).cast(RARE))
-        return rows.join(rare.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left").drop("_id", "_node")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, keys = [], []
-            for t, r in zip(batch.column(2), batch.column(3), strict=True):
-                h, w = shingles(t.as_py(), weights.value, cfg.words, rare_words(r))
+            for t in batch.column(2):
+                h, w = shingles(t.as_py(), weights.value, cfg.words)
                 total.append(float(w.sum()))
                 keys.append(sampler.keys(h, w) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(total), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "weight", "keys"])
 
-    node = node_of(F.col("norm"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(with_rare(texts.select("doc_id", node.alias("node"), "norm")).select("doc_id", "node", "norm", "rare").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
+    signed = scratch.written(texts.select("doc_id", node_of(F.col("norm")).alias("node"), "norm").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
+    nodes = scratch.written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
     members = nodes.select(F.explode("keys").alias("key"), "id", F.col("weight").alias("size"))
 
     def fetch(ids: DataFrame) -> DataFrame:
         """Texts of nodes, by the id of their first document; only what is asked for is normalised."""
-        at = with_rare(nodes.join(ids, "id").select("id", "node", "doc_id")).select("id", "node", "rare", F.col("doc_id").alias("_id"))
-        found = docs.select("doc_id", "text").join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "node", "rare", normal_form().alias("norm"))
-        return written(found.where(node_of(F.col("norm")) == F.col("node")).groupBy("id").agg(F.first("norm").alias("norm"), F.first("rare").alias("rare")), "texts")
+        at = nodes.join(ids, "id").select("id", "node", F.col("doc_id").alias("_id"))
+        found = docs.select("doc_id", "text").join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "node", normal_form().alias("norm"))
+        return scratch.written(found.where(node_of(F.col("norm")) == F.col("node")).groupBy("id").agg(F.first("norm").alias("norm")), "texts")
 
     roots = link(
-        members, fetch, lambda pairs, known: similar(pairs, known, weights, cfg), lambda ids, known: alone(ids, known, weights, cfg), cfg.threshold
+        members, fetch, lambda pairs, known: similar(pairs, known, weights, cfg), lambda ids, known: alone(ids, known, weights, cfg), cfg.threshold, scratch,
+        lambda rows, known: rare_pairs(rows, known, weights, cfg),
     )
-    of = written(nodes.join(roots, "id", "left").select("node", "doc_id", "n", F.coalesce("root", "id").alias("root")), "rooted")
-    named = written(of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "named")
-    by_node = written(of.select("node", "root").join(named, "root").select("node", "class_id", "class_size"), "classes")
+    of = scratch.written(nodes.join(roots, "id", "left").select("node", "doc_id", "n", F.coalesce("root", "id").alias("root")), "rooted")
+    named = scratch.written(of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "named")
+    by_node = scratch.written(of.select("node", "root").join(named, "root").select("node", "class_id", "class_size"), "classes")
+    scratch.keep(signed, by_node)
     return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose ``texts(id, norm, rare)`` are similar enough."""
-    left = texts.select(F.col("id").alias("a"), F.col("norm").alias("a_text"), F.col("rare").alias("a_rare"))
-    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("b_text"), F.col("rare").alias("b_rare"))
+    """The pairs ``(a, b)`` of nodes whose ``texts(id, norm)`` are similar enough."""
+    left, right = (texts.select(F.col("id").alias(c), F.col("norm").alias(f"{c}_text")) for c in ("a", "b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, tuple] = OrderedDict()
         size = 0
 
-        def of(node: int, text: pa.StringScalar, rare: pa.ListScalar) -> tuple:
+        def of(node: int, text: pa.StringScalar) -> tuple:
             nonlocal size
             if node in known:
                 known.move_to_end(node)
                 return known[node]
-            out = known[node] = shingles(text.as_py(), weights.value, cfg.words, rare_words(rare))
+            out = known[node] = shingles(text.as_py(), weights.value, cfg.words)
             size += len(out[0])
             while size > 2_000_000 and len(known) > 1:
                 size -= len(known.popitem(last=False)[1][0])
@@ -315,27 +261,56 @@ def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFra
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [similarity(of(x, t, r), of(y, u, q)) >= cfg.threshold for x, y, t, u, r, q in zip(a, b, *batch.columns[2:], strict=True)]
+            keep = [similarity(of(x, t), of(y, u)) >= cfg.threshold for x, y, t, u in zip(a, b, *batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text", "a_rare", "b_rare").mapInArrow(check, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
 
 
-def alone(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
-    """``id, own``: for each of the ids the weight of its shingles that no other of them has."""
+def spelled(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
+    """``id, shingle, w`` of the ids' texts."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                each = [shingles(t.as_py(), weights.value, cfg.words, rare_words(r)) for t, r in zip(part.column(1), part.column(2), strict=True)]
+                each = [shingles(t.as_py(), weights.value, cfg.words) for t in part.column(1)]
                 n = np.array([len(h) for h, _ in each], "i8")
                 h, w = (np.concatenate([e[k] for e in each]) for k in (0, 1))
                 id_ = part.column(0).take(pa.array(np.repeat(np.arange(len(each)), n)))
                 yield pa.RecordBatch.from_arrays([id_, pa.array(h.view("i8")), pa.array(w.astype("f4"))], names=["id", "shingle", "w"])
 
-    some = texts.join(ids, "id", "left_semi").select("id", "norm", "rare")
-    one = some.mapInArrow(spell, "id long, shingle long, w float").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
+    return texts.join(ids, "id", "left_semi").select("id", "norm").mapInArrow(spell, "id long, shingle long, w float")
+
+
+def alone(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
+    """``id, own``: for each of the ids the weight of its shingles that no other of them has."""
+    one = spelled(ids, texts, weights, cfg).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
     # rounded down a little: single precision must not make an own part larger than it is
     total = one.groupBy("id").agg((F.sum(F.col("w").cast("double")) * (1 - 1e-6)).alias("own"))
     return ids.join(total, "id", "left").select("id", F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
+def rare_pairs(rows: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
+    """Of ``rows(id, size, own, root)`` the pairs ``a, b`` of different roots that can be similar, by prefixes of rare shingles.
+
+    Let all shingles be ordered by the number of these rows that have them, rare ones first. Of two texts of sizes ``a <= b`` that are similar, what they have in
+    common weighs at least ``2 t / (1 + t)`` times ``a`` and ``t`` times ``b``; so the first shingle that both have comes, in each of them,
+    before more than the rest of its weight is over. Only shingles that early are joined; what many texts share is not among them
+    unless they share nearly all. In the group of a shingle nothing is compared within the root that most of its rows have."""
+    t = cfg.threshold
+    each = spelled(rows.select("id"), texts, weights, cfg)
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = W.partitionBy("id").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)  # within one text
+    before = each.join(common.hint("merge"), "shingle").withColumn("before", F.coalesce(F.sum(F.col("w").cast("double")).over(order), F.lit(0.0)))
+    early = before.join(rows.hint("merge"), "id").withColumn("before", (F.col("own") + F.col("before")) * (1 - 1e-6)).where(F.col("before") <= (1 - t) * F.col("size"))
+    early = early.select("shingle", "id", "size", "root", (F.col("before") <= (1 - 2 * t / (1 + t)) * F.col("size")).alias("first"))
+    by_root = early.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", "main")
+    early = early.join(main.hint("merge"), "shingle").withColumn("inside", F.col("root") == F.col("main")).drop("main")
+    out = early.where("NOT inside").drop("inside")
+    other = early.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "root", "first", "inside")))
+    smaller = F.struct("size", "id") < F.struct("b_size", "b_id")
+    can = (F.col("root") != F.col("b_root")) & (F.col("b_inside") | (F.col("id") < F.col("b_id"))) & F.when(smaller, F.col("first")).otherwise(F.col("b_first"))
+    sizes = F.least("size", "b_size") >= t * F.greatest("size", "b_size") * (1 - 1e-9)
+    return out.join(other.hint("merge"), "shingle").where(can & sizes).select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()

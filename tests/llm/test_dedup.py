@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from kerfline.llm import exact_dedup, linkage, line_dedup, near_dup
-from kerfline.llm.common import written
+from kerfline.llm.common import Scratch, written
 
 RNG = random.Random(4)
 WORDS = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 9))) for _ in range(400)]
@@ -63,8 +66,8 @@ def test_components_of_random_graphs(spark):
 
 
 def sketched(docs):
-    nodes = written(line_dedup.lines_of(docs), "nodes")
-    return line_dedup.hashed(nodes).join(nodes.select("node", "norm"), "node").collect()
+    nodes = written(line_dedup.nodes_of(line_dedup.lines_of(docs)), "nodes")
+    return line_dedup.hashed(nodes, Scratch(docs.sparkSession, "test")).join(nodes.select("node", "norm"), "node").collect()
 
 
 def test_lines_exact_and_near(spark):
@@ -126,7 +129,7 @@ def test_marks_outside_ascii_separate_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert docs.select(line_dedup.normal_form(docs["text"]).alias("n")).distinct().count() == 1
     assert docs.select(near_dup.normal_form().alias("n")).distinct().collect()[0].n == "it said stop here and then nothing at all"
-    assert line_dedup.lines_of(docs).count() == 1  # the rules are no content
+    assert line_dedup.lines_of(docs).select("norm").distinct().count() == 1  # the rules are no content
 
 
 def test_longest_lines_have_a_simhash(spark):
@@ -161,8 +164,7 @@ def test_near_classes_equal_brute_force(spark):
     texts = [" ".join(t) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     norm = docs.select(near_dup.normal_form().alias("norm"))
-    word, n, full = near_dup.frequencies(norm, 65_536)
-    weights = near_dup.Weights(word, n, len(texts), full)
+    weights = near_dup.frequent(near_dup.counted(norm), len(texts), near_dup.Config())
     root = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j in range(i):
@@ -173,33 +175,36 @@ def test_near_classes_equal_brute_force(spark):
     assert got == dict(enumerate(root))
 
 
-def test_near_classes_do_not_depend_on_the_vocabulary_sent(spark):
-    rng, texts = random.Random(8), []
-    for k in range(10):
-        base = [rng.choice(WORDS) for _ in range(60)]
-        texts.append(base)
-        for edits in (1, 2, 3):
-            t = list(base)
-            for i in rng.sample(range(60), edits):
-                t[i] = f"name{k}of{edits}at{i}"
-            texts.append(t)
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = lambda most: {r.node: r.w for r in near_dup.classes(docs, near_dup.Config(vocabulary=most)).selectExpr("node", "class_id AS w").collect()}
-    assert found(5) == found(65_536)
-    by_word = near_dup.counted(docs.select(near_dup.normal_form().alias("norm")))
-    some = near_dup.Weights(*(f := near_dup.most_frequent(by_word, 5))[:2], len(texts), f[2])
-    every = near_dup.Weights(*(f := near_dup.most_frequent(by_word, 65_536))[:2], len(texts), f[2])
-    held = docs.select("doc_id", near_dup.normal_form().alias("norm"))
-    rare = {r._id: r.rare for r in near_dup.rare_of(held, by_word, spark.sparkContext.broadcast(some)).collect()}
-    for r in held.collect():
-        w, n = (near_dup.np.array([x[k] for x in rare[r.doc_id]], "i8") for k in ("word", "n"))
-        order = near_dup.np.argsort(w.view("u8"))
-        got = near_dup.shingles(r.norm, some, 5, (w.view("u8")[order], n[order]))
-        assert near_dup.np.allclose(got[1], near_dup.shingles(r.norm, every, 5)[1])
+def test_weights_of_words_depend_on_their_share_only():
+    at = lambda df, n: near_dup.Weights(near_dup.word_hashes("a"), near_dup.np.array([df]), n, 1024).of(near_dup.word_hashes("a b"))
+    assert near_dup.np.allclose(at(10, 10), [1, 2]) and near_dup.np.allclose(at(1, 32), [1.5, 2])
+    assert near_dup.np.allclose(at(100, 3200), at(1, 32)) and near_dup.np.allclose(at(1, 5000), [2, 2])
+
+
+def test_too_many_frequent_words_are_told(spark):
+    by_word = spark.createDataFrame([(i, 3) for i in range(20)], "word long, n long")
+    with pytest.raises(ValueError, match="rarest"):
+        near_dup.frequent(by_word, 3, near_dup.Config(most_words=10))
+    assert len(near_dup.frequent(by_word, 3, near_dup.Config()).hashes) == 20 and len(near_dup.frequent(by_word, 30_000, near_dup.Config()).hashes) == 0
+
+
+def test_texts_that_share_a_passage_make_few_pairs(spark):
+    """Copies of a passage with own words around it share keys, but only those that are similar may be joined."""
+    passage, rng = [f"p{i}" for i in range(45)], random.Random(2)
+    counted = []
+    for n in (60, 240):
+        texts = [" ".join([*passage, *(f"o{rng.randrange(1 << 30)}" for _ in range(20))]) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = docs.select(F.col("doc_id").alias("id"), F.lit(61.0 * 2).alias("size"), F.lit(0.0).alias("own"), F.col("doc_id").alias("root"))
+        weights = spark.sparkContext.broadcast(near_dup.Weights(near_dup.np.zeros(0, "u8"), near_dup.np.zeros(0, "i8"), n, 1024))
+        own = near_dup.alone(rows.select("id"), docs.select(F.col("doc_id").alias("id"), F.col("text").alias("norm")), weights, near_dup.Config())
+        rows = rows.drop("own").join(own, "id")
+        counted.append(near_dup.rare_pairs(rows, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("norm")), weights, near_dup.Config()).count())
+    assert counted == [0, 0]
 
 
 def test_sample_agreement_estimates_weighted_jaccard():
-    weights = near_dup.Weights(near_dup.word_hashes("a b"), near_dup.np.array([3, 2]), 10, False)
+    weights = near_dup.Weights(near_dup.word_hashes("a b"), near_dup.np.array([3, 2]), 10, 1024)
     sampler = near_dup.Sampler(near_dup.Config(bands=600, rows=1))
     base = words(300)
     other = [*base[:250], *words(50)]
