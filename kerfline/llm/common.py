@@ -31,36 +31,39 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables written to the shared folder and read back: lineage ends there, so a lost executor costs the reading stage only.
 
-    The first table switches the session's ``TIDY`` on for good. ``drop`` removes tables that nothing reads any more."""
+    The first table switches the session's ``TIDY`` on for good. ``keep`` removes tables that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path = spark, fresh_path(spark, label)
-        self.at: dict[int, tuple[DataFrame, str]] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.made = 0
 
     def written(self, df: DataFrame, label: str) -> DataFrame:
         if self.spark.conf.get(TIDY, "false") != "true":
             self.spark.conf.set(TIDY, "true")
-        path = f"{self.path}/{len(self.at)}-{label}"
+        path = f"{self.path}/{self.made}-{label}"
+        self.made += 1
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.at[len(self.at)] = (back, path)
+        self.tables.append((back, path))
         return back
 
-    def drop(self, *tables: DataFrame) -> None:
-        self._delete([p for t, p in self.at.values() if any(t is x for x in tables)])
-
     def keep(self, *tables: DataFrame) -> None:
         """Remove all tables but these."""
-        self._delete([p for t, p in self.at.values() if not any(t is x for x in tables)])
-
-    def _delete(self, paths: list[str]) -> None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for p in paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(hadoop).delete(path, True)
+        stay = [(t, p) for t, p in self.tables if any(t is x for x in tables)]
+        for _, path in self.tables:
+            if all(path != p for _, p in stay):
+                removed(self.spark, path)
+        self.tables = stay
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

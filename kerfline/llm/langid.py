@@ -8,14 +8,13 @@ bounded sample of labelled rows (``rows_per_lang`` documents a language, expecte
 Embedding and filters are linear, so for prediction they are multiplied out once into tables, one row a pair of
 bytes, and a convolution becomes a sum of table rows.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; a language that no training row
+Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; texts may be of any length, their windows are predicted a bounded number at a time; a language that no training row
 has is never predicted; without any training row all texts are ``und``; ties go to the first language by name;
 repeated rows are predicted each for itself; other columns, also ones named like the results, are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 @dataclass(frozen=True)
@@ -170,7 +169,7 @@ def sample(docs: DataFrame, cfg: Config) -> DataFrame:
 
 def train(docs: DataFrame, cfg: Config = Config()) -> ByteConv | None:
     """Train on labelled ``docs(doc_id, text, lang)``."""
-    rows = sample(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), cfg).collect()
+    rows = sample(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)), cfg).collect()
     if not rows:
         return None
     rows.sort()
@@ -188,7 +187,7 @@ def predict(docs: DataFrame, model: ByteConv | None, keep: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            raw = [t.encode() if model and t and LETTER.search(t) else b"" for t in texts]
+            raw = [t.encode() if model and t else b"" for t in texts]
             prob = np.zeros((len(raw), max(1, len(model.langs) if model else 1)), "f4")
             held: list[np.ndarray] = []
             of: list[np.ndarray] = []
@@ -209,7 +208,7 @@ def predict(docs: DataFrame, model: ByteConv | None, keep: tuple[str, ...] = ("d
             score = [float(min(1.0, p)) if b else 0.0 for p, b in zip(prob[np.arange(len(raw)), best], raw, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.when(F.col("text").rlike(LETTER), F.col("text")).alias("_text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -10,10 +10,9 @@ are spread over ``lanes`` tasks whose results are merged at the end.
 Every block of queries meets every shard; neither side is broadcast or collected.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither as query nor as
-candidate; only vectors of equal length are compared; a query is not compared with rows of its own id; rows that
-repeat an id are candidates one by one, and a query id that occurs more than once with different vectors is
-answered for its first vector by value; ties go to the smaller id; products whose size is beyond 2**53 are
-computed with Python integers, and a score beyond 64 bits fails loudly; an empty table gives an empty result.
+candidate; only vectors of equal length are compared; every query row is answered, also where rows repeat its id, and not compared with itself only;
+rows with a null id are candidates; ties go to the smaller id, null last; products whose size is beyond 2**53 are
+computed with Python integers, and a score beyond 64 bits fails loudly; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,25 +47,28 @@ def quantised(embedding: Column) -> Column:
     return F.when(embedding.isNotNull() & ~F.coalesce(bad, F.lit(True)), parts)
 
 
+#: In place of a null id's negative: below that of every other.
+NO_ID = -(1 << 64)
+
+
 class Tree:
     """Arrays of one KD-tree: nodes in pre-order, boxes, and vectors reordered so that a node is a slice."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int):
-        self.vectors, self.ids = vectors, ids
+    def __init__(self, vectors: np.ndarray, rows: np.ndarray, leaf: int):
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.span: list[tuple[int, int]] = []
         self.child: list[tuple[int, int] | None] = []
-        order = np.arange(len(ids))
-        todo = [(0, len(ids), -1, 0)]
+        order = np.arange(len(rows))
+        todo = [(0, len(rows), -1, 0)]
         while todo:
             start, end, parent, side = todo.pop()
             me = len(self.span)
             if parent >= 0:
                 pair = self.child[parent] or (-1, -1)
                 self.child[parent] = (me, pair[1]) if side == 0 else (pair[0], me)
-            rows = vectors[order[start:end]]
-            low, high = rows.min(0), rows.max(0)
+            part = vectors[order[start:end]]
+            low, high = part.min(0), part.max(0)
             self.low.append(low)
             self.high.append(high)
             self.span.append((start, end))
@@ -74,13 +76,13 @@ class Tree:
             if end - start > leaf and (high > low).any():
                 axis = int((high - low).argmax())
                 middle = (end - start) // 2
-                order[start:end] = order[start:end][np.argpartition(rows[:, axis], middle)]
+                order[start:end] = order[start:end][np.argpartition(part[:, axis], middle)]
                 todo += [(start + middle, end, me, 1), (start, start + middle, me, 0)]
-        self.vectors, self.ids = vectors[order], ids[order]
+        self.vectors, self.rows, self.at = vectors[order], rows[order], order
         self.low, self.high = np.array(self.low), np.array(self.high)
 
-    def search(self, q: np.ndarray, own, k: int, best: list[tuple[int, int]]) -> None:
-        """Improve ``best``, a heap of at most k entries (score, -id), by this tree's vectors."""
+    def search(self, q: np.ndarray, own: int, ids: list[int | None], k: int, best: list[tuple[int, int]]) -> None:
+        """Improve ``best``, a heap of at most k entries (score, -id), by this tree's vectors, but for that of the row ``own``; ``ids`` in the order the tree was given them."""
         bounds = np.maximum(q * self.low, q * self.high).sum(1)
         todo = [(-bounds[0], 0)]
         while todo:
@@ -96,10 +98,10 @@ class Tree:
             scores = self.vectors[start:end] @ q
             least = best[0][0] if len(best) == k else -np.inf
             for i in np.flatnonzero(scores >= least):
-                vec = self.ids[start + i]
-                if vec == own:
+                if self.rows[start + i] == own:
                     continue
-                entry = (int(scores[i]), -int(vec))
+                vec = ids[self.at[start + i]]
+                entry = (int(scores[i]), NO_ID if vec is None else -vec)
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
@@ -114,58 +116,59 @@ def _exact(vectors: np.ndarray) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query: Column, cfg: Config = Config()) -> DataFrame:
     """``vectors(vec_id, embedding)`` to ``query_id, rank, vec_id, score``: each query's k best."""
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
-    usable = written(usable.withColumn("dim", F.size("v")), "vectors")
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    usable = written(usable.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbers are fixed by being written
     shards = max(1, -(-usable.count() // cfg.shard))
     blocks = max(1, -(-usable.where(is_query).count() // cfg.block))
     lanes = min(cfg.lanes, shards)
-    some = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    some = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = usable.where(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).withColumn("shard", F.lit(-1)).withColumn("block", some(blocks)).withColumn("lane", every(lanes))
+    asked = usable.where(is_query).withColumn("shard", F.lit(-1)).withColumn("block", some(blocks)).withColumn("lane", every(lanes))
     there = usable.withColumn("shard", some(shards)).withColumn("block", every(blocks)).withColumn("lane", F.col("shard") % lanes)
     keys = ["dim", "block", "lane"]
-    columns = [*keys, "shard", "vec_id", "v"]
+    columns = [*keys, "shard", "row", "vec_id", "v"]
     # Sorted so that a group begins with its queries and goes on shard by shard.
     rows = asked.select(*columns).unionByName(there.select(*columns)).repartition(*keys).sortWithinPartitions(*keys, "shard")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, best = None, None, []
-        for shard, own, v in _shards(batches):
+        asking, names, queries, best = None, [], None, []
+        for shard, own, ids, v in _shards(batches):
             if shard < 0:
-                ids, queries, best = own, v, [[] for _ in own]
-            elif ids is not None:
+                asking, names, queries, best = own, ids, v, [[] for _ in own]
+            elif asking is not None:
                 both = _exact(np.concatenate([v, queries]))
                 tree = Tree(both[: len(own)], own, cfg.leaf)
-                for i, q in enumerate(ids):
-                    tree.search(both[len(own) + i], q, cfg.k, best[i])
-        found = [(q, -vec, s) for q, heap in zip(ids if ids is not None else (), best, strict=True) for s, vec in heap]
-        cols = list(zip(*found, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(map(int, c), pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = rows.groupBy(*keys).applyInArrow(run, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                for i, q in enumerate(asking):
+                    tree.search(both[len(own) + i], q, ids, cfg.k, best[i])
+        found = [(int(r), q, None if vec == NO_ID else -vec, s) for r, q, heap in zip(asking if asking is not None else (), names, best, strict=True) for s, vec in heap]
+        cols = list(zip(*found, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "query_id", "vec_id", "score"])
+
+    found = rows.groupBy(*keys).applyInArrow(run, "row long, query_id long, vec_id long, score long")
+    order = W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(shard, ids, vectors)`` one shard at a time, from batches sorted by shard."""
-    at, ids, parts = None, [], []
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list, np.ndarray]]:
+    """``(shard, rows, ids, vectors)`` one shard at a time, from batches sorted by shard."""
+    at, rows, ids, parts = None, [], [], []
 
-    def whole() -> tuple[int, np.ndarray, np.ndarray]:
-        return at, np.concatenate(ids), np.concatenate(parts)
+    def whole() -> tuple[int, np.ndarray, list, np.ndarray]:
+        return at, np.concatenate(rows), ids, np.concatenate(parts)
 
     for batch in batches:
-        shard, own = batch.column("shard").to_numpy(), batch.column("vec_id").to_numpy()
+        shard, own, named = batch.column("shard").to_numpy(), batch.column("row").to_numpy(), batch.column("vec_id").to_pylist()
         v = batch.column("v").flatten().to_numpy().reshape(len(own), -1) if len(own) else np.zeros((0, 0))
         cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
         for s, e in zip(cuts, cuts[1:], strict=False):
             if s == e:
                 continue
-            if ids and shard[s] != at:
+            if rows and shard[s] != at:
                 yield whole()
-                ids, parts = [], []
+                rows, ids, parts = [], [], []
             at = int(shard[s])
-            ids.append(own[s:e])
+            rows.append(own[s:e])
+            ids = ids + named[s:e]
             parts.append(v[s:e])
-    if ids:
+    if rows:
         yield whole()

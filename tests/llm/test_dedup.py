@@ -29,7 +29,9 @@ def test_exact_groups(odd_docs):
         ids = groups[r.text_sha256]
         assert r.group_size == len(ids)
         assert r.keep_id == min((i for i in ids if i is not None), default=None)
-        assert r.kept == (r.doc_id == r.keep_id)
+        assert r.doc_id == r.keep_id or not r.kept
+    for digest in groups:
+        assert sum(r.kept for r in got if r.text_sha256 == digest) == 1
 
 
 def test_exact_index_persists_over_batches(spark, tmp_path):

@@ -32,6 +32,13 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert langid.identify(no_docs).count() == 0
 
 
+def test_only_letters_make_a_language(spark):
+    rows = [(1, "½ ² Ⅷ 12", "en"), (2, "ª", "en"), (3, "字", "en"), (4, "the words", "en"), (5, "x" * 300_000, "en")]
+    rows = [(i + 10 * k, t, lang) for k in range(8) for i, t, lang in rows]
+    got = {r.doc_id % 10: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: "und", 2: "en", 3: "en", 4: "en", 5: "en"}
+
+
 def test_prediction_tables_equal_the_network():
     cfg = langid.Config(filters=4, embed=3)
     model = langid.ByteConv(["a", "b"], cfg)

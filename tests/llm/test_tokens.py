@@ -63,8 +63,8 @@ def test_topk_equals_brute_force(spark, scale):
     v = np.round(g.normal(size=(300, 6)) * 4) / 8
     v[50:80] = v[0]  # ties
     v *= scale
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (950, [1.0, None]), (1000, [float("nan")] * 6), (None, [1.0] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [float(x) for x in r], "x") for i, r in enumerate(v)] + [(900, None, None), (950, [1.0, None], "x"), (1000, [float("nan")] * 6, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = topk.search(df, F.col("vec_id") % 50 == 0, topk.Config(shard=40, block=3, lanes=3, leaf=8)).collect()
     q = [[int(x) for x in np.floor(r * 256)] for r in v]
     want = {}
@@ -74,6 +74,16 @@ def test_topk_equals_brute_force(spark, scale):
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
 
 
+def test_topk_rows_that_repeat_an_id_have_none_or_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (7, [3.0, 0.0]), (None, [3.0, 0.0]), (None, [1.0, 1.0]), (50, [1.0, 1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (100, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.query_id, r.rank, -1 if r.vec_id is None else r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()))
+    u = 256 * 256
+    one = [(0, 1, 7, 3 * u), (0, 2, -1, 3 * u), (0, 3, 0, 2 * u), (0, 4, -1, u)]  # of the first row, ties to the row with an id
+    two = [(0, 1, 7, 6 * u), (0, 2, -1, 6 * u), (0, 3, 0, 2 * u), (0, 4, -1, 2 * u)]
+    assert got == sorted([*one, *two, (50, 1, 3, u)])
+
+
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, F.col("vec_id") % 50 == 0).count() == 0
