@@ -79,3 +79,26 @@ def histogram(values: DataFrame, column: str, low: float, high: float, bins: int
     """Equal-width bins; the upper end belongs to the last."""
     at = F.least(F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins))
     return values.where(F.col(column).between(low, high)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def holdout(rows: DataFrame, truth: str, raw: str, snapped: str, goal: float, step: float, *by: str) -> DataFrame:
+    """Errors of the snapped predictions and of the raw ones, the goal, and the error as a fraction of the plan's step."""
+    out = rows.groupBy(*by).agg(*errors(truth, snapped), F.avg(F.abs(F.col(raw) - F.col(truth))).alias("mae_raw"), F.count(F.lit(1)).alias("rows"))
+    return out.withColumn("goal_met", F.col("mae") < goal).withColumn("fraction_of_step", F.col("mae") / step)
+
+
+def nearest(value: Column, levels: tuple[float, ...]) -> Column:
+    """The level next to a value, the smaller of equals."""
+    return F.array_min(F.transform(F.array(*map(F.lit, levels)), lambda x: F.struct(F.round(F.abs(x - value), 9).alias("d"), x.alias("x"))))["x"]
+
+
+def step_decisions(rows: DataFrame, truth: str, pred: str, levels: tuple[float, ...], step: float, band: float) -> DataFrame:
+    """Rounding to levels with abstention: a prediction within ``band`` of the border between two levels is not decided."""
+    border = F.array_min(F.transform(F.array(*(F.lit(x + step / 2) for x in levels[:-1])), lambda b: F.abs(b - F.col(pred))))
+    n = rows.select(nearest(F.col(truth), levels).alias("t"), nearest(F.col(pred), levels).alias("d"), (border > band).alias("sure"))
+    hit, off, sure = (F.col("t") == F.col("d")).cast("double"), F.rint(F.abs(F.col("t") - F.col("d")) / step), F.col("sure")
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return n.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(sure, 1)).alias("n_confident"), mean(sure.cast("double"), "coverage"), mean((~sure).cast("double"), "abstention"), mean(hit, "forced_accuracy"), mean(F.when(sure, hit), "confident_accuracy"),
+        mean(F.when(sure, hit).otherwise(0.0), "decided_accuracy"), mean(F.when(sure, (off >= 1).cast("double")), "off_by_1"), mean(F.when(sure, (off >= 2).cast("double")), "off_by_2"),
+    )

@@ -27,6 +27,28 @@ def stratified(rows: DataFrame, label: str, key: str, train: float, val: float,
     return rows.withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test"))
 
 
+def share_of(key: str, seed: int) -> Column:
+    """A number in [0, 1) by the key, for splits that need no order and so no shuffle."""
+    return F.conv(F.substring(draw(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def by_position(rows: DataFrame, step: str, held: list[int], key: str, val: float, seed: int = 0) -> DataFrame:
+    """Adds ``split``: rows of the held steps are the test, of the others a share is for validation."""
+    if not held:
+        raise ValueError("no steps to hold out")
+    return rows.withColumn("split", F.when(F.col(step).isin(*held), "test").when(share_of(key, seed) < val, "val").otherwise("train"))
+
+
+def windows(files: DataFrame, key: str, frames: str, length: int, hop: int, most: int | None = None, seed: int = 0) -> DataFrame:
+    """Starts of the windows of each file, at least one; with ``most`` a reproducible choice of so many, as training takes them."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col(frames) - length).cast("long"), F.lit(hop).cast("long")))
+    each = files.withColumn("start", start)
+    if most is None:
+        return each
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(key) * 1000003 + F.col("start")).cast("string")).cast("binary"))
+    return each.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(order, "start"))).where(F.col("_rn") <= most).drop("_rn")
+
+
 def holdout(rows: DataFrame, group: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the held groups, and the others."""
     return rows.join(held, group, "left_semi"), rows.join(held, group, "left_anti")
