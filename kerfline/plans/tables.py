@@ -166,42 +166,55 @@ def feature_profile(spark, sf_dir):
 
 
 def _ranked_sql(feature: str) -> str:
-    return f"SELECT '{feature}' AS feature, rank() OVER (ORDER BY {feature}) + (count(*) OVER (PARTITION BY {feature}) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY target) + (count(*) OVER (PARTITION BY target) - 1) / 2.0::DOUBLE AS y, rank() OVER (ORDER BY f_noise) + (count(*) OVER (PARTITION BY f_noise) - 1) / 2.0::DOUBLE AS z FROM ft"
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+    return f"SELECT '{feature}' AS feature, {rank(feature)} AS x, {rank('target')} AS y, {rank('f_noise')} AS z FROM ft WHERE {feature} IS NOT NULL"
 
 
-_RANKED = " UNION ALL ".join(_ranked_sql(f) for f in ("f_quantity", "f_discount"))
+#: All features that vary; rank correlation with a constant one is not defined.
+_VARYING = tuple(f for f in views.FEATURES if f != "f_flat")
+_RANKED = " UNION ALL ".join(map(_ranked_sql, _VARYING))
 
 
 @query("spearman_filter", f"WITH {views.FEATURE_SQL}, r AS ({_RANKED}) SELECT feature, round(corr(x, y), 6) AS r FROM r GROUP BY feature")
 def spearman_filter(spark, sf_dir):
-    long = selection.long_form(views.features(spark, sf_dir), ["f_quantity", "f_discount"], "target")
+    long = selection.long_form(views.features(spark, sf_dir), list(_VARYING), "target")
     return selection.spearman(long, "target").select("feature", *rounded("r"))
 
 
 @query("partial_rank_correlation", f"""
-WITH {views.FEATURE_SQL}, r AS ({_RANKED}), c AS (SELECT feature, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, sum(x * z) / sum(z * z) AS bx, sum(y * z) / sum(z * z) AS b_y FROM r GROUP BY feature),
+WITH {views.FEATURE_SQL}, r AS ({_RANKED}), c AS (SELECT feature, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, sum(x * z) / sum(z * z) AS bx, sum(y * z) / sum(z * z) AS b_y FROM r WHERE feature <> 'f_noise' GROUP BY feature),
 o AS (SELECT r.feature, corr(x - bx * z, y - b_y * z) AS r FROM r JOIN c USING (feature) GROUP BY r.feature)
-SELECT feature, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS with_intercept, round(o.r, 6) AS through_origin FROM c JOIN o USING (feature)
+SELECT feature, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS with_intercept, round(o.r, 6) AS through_origin, n FROM c JOIN o USING (feature)
 """)
 def partial_rank_correlation(spark, sf_dir):
-    long = selection.long_form(views.features(spark, sf_dir), ["f_quantity", "f_discount"], "target", "f_noise")
-    a = selection.partial_spearman(long, "target", "f_noise").withColumnRenamed("r", "with_intercept")
-    b = selection.partial_spearman(long, "target", "f_noise", intercept=False).withColumnRenamed("r", "through_origin")
-    return a.join(b, "feature").select("feature", *rounded("with_intercept", "through_origin"))
+    long = selection.long_form(views.features(spark, sf_dir).withColumn("held", F.col("f_noise")), [f for f in _VARYING if f != "f_noise"], "target", "held")
+    a = selection.partial_spearman(long, "target", "held").withColumnRenamed("r", "with_intercept")
+    b = selection.partial_spearman(long, "target", "held", intercept=False).select("feature", F.col("r").alias("through_origin"))
+    return a.join(b, "feature").select("feature", *rounded("with_intercept", "through_origin"), "n")
 
 
-@query("feature_correlations", f"""
-WITH {views.FEATURE_SQL} SELECT 'f_quantity' AS a, 'f_discount' AS b, round(corr(f_quantity, f_discount), 6) AS r FROM ft UNION ALL SELECT 'f_quantity', 'f_noise', round(corr(f_quantity, f_noise), 6) FROM ft UNION ALL SELECT 'f_discount', 'f_noise', round(corr(f_discount, f_noise), 6) FROM ft
+@query("feature_diagnostics", f"""
+WITH {views.FEATURE_SQL}, r AS ({_RANKED}), c AS (SELECT feature, count(*) AS n_used, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r WHERE feature <> 'f_noise' GROUP BY feature), p AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS pr FROM c)
+SELECT feature, round(xy, 6) AS raw_r, round(xz, 6) AS control_r, round(pr, 6) AS partial_r, n_used, round(abs(xy) - abs(pr), 6) AS delta, abs(pr) > 0.15 AS survived_015, abs(pr) > 0.2 AS survived_020 FROM p
 """)
+def feature_diagnostics(spark, sf_dir):
+    long = selection.long_form(views.features(spark, sf_dir).withColumn("held", F.col("f_noise")), [f for f in _VARYING if f != "f_noise"], "target", "held")
+    return selection.diagnostics(long, "target", "held").select("feature", *rounded("raw_r", "control_r", "partial_r"), "n_used", *rounded("delta"), "survived_015", "survived_020")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(_VARYING) for b in _VARYING[i + 1 :]]
+
+
+@query("feature_correlations", f"WITH {views.FEATURE_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM ft" for a, b in _PAIRS))
 def feature_correlations(spark, sf_dir):
-    return selection.correlations(views.features(spark, sf_dir), ["f_quantity", "f_discount", "f_noise"]).select("a", "b", *rounded("r"))
+    return selection.correlations(views.features(spark, sf_dir), list(_VARYING)).select("a", "b", *rounded("r"))
 
 
-@query("variance_between_runs", f"""
-WITH {views.FEATURE_SQL}, g AS (SELECT run, var_samp(f_quantity) AS v, avg(f_quantity) AS m FROM ft GROUP BY run) SELECT 'f_quantity' AS feature, round(avg(v), 5) AS within, round(var_samp(m), 5) AS between, round(var_samp(m) / nullif(avg(v), 0), 6) AS ratio FROM g
+@query("variance_between_runs", f"WITH {views.FEATURE_SQL}, g AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, run, var_samp({f}) AS v, avg({f}) AS m FROM ft GROUP BY run" for f in views.FEATURES) + """)
+SELECT feature, round(avg(v), 5) AS within, round(var_samp(m), 5) AS between, round(var_samp(m) / nullif(avg(v), 0), 6) AS ratio FROM g GROUP BY feature
 """)
 def variance_between_runs(spark, sf_dir):
-    long = selection.long_form(views.features(spark, sf_dir), ["f_quantity"], "run")
+    long = selection.long_form(views.features(spark, sf_dir), list(views.FEATURES), "run")
     return selection.variance_split(long, "run").select("feature", *rounded("within", "between", digits=5), *rounded("ratio"))
 
 
@@ -292,9 +305,9 @@ def active_runs(spark, sf_dir):
     return ledger.active_runs(_log(spark, sf_dir))
 
 
-_FILES = """nw AS (SELECT 'f' || user_id AS path, event_type AS modality, CAST(floor(value) AS BIGINT) AS size, event_id AS mtime_ns, ts AS seen_at FROM events WHERE event_id % 3 = 0),
+_FILES = """nw AS (SELECT 'f' || user_id AS path, event_type AS modality, CAST(floor(value) AS BIGINT) AS size, event_id AS mtime_ns, ts AS seen_at FROM events),
 ls AS (SELECT path, arg_max(modality, (seen_at, mtime_ns)) AS modality, arg_max(size, (seen_at, mtime_ns)) AS size, arg_max(mtime_ns, (seen_at, mtime_ns)) AS mtime_ns, max(seen_at) AS seen_at FROM nw GROUP BY path),
-od AS (SELECT 'f' || c_custkey AS path, 'view' AS modality, c_custkey AS size, c_custkey AS mtime_ns, CASE c_custkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'done' ELSE 'running' END AS status, TIMESTAMP '2024-01-01' AS seen_at FROM customer WHERE c_custkey <= 200)"""
+od AS (SELECT 'f' || c_custkey AS path, 'view' AS modality, c_custkey AS size, c_custkey AS mtime_ns, CASE c_custkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'done' ELSE 'running' END AS status, TIMESTAMP '2024-01-01' AS seen_at FROM customer)"""
 
 
 @query("file_upserts", f"""
@@ -303,10 +316,10 @@ WITH {_FILES}, m AS (SELECT coalesce(ls.path, od.path) AS path, coalesce(ls.moda
 SELECT *, (seen_at, path) = max((seen_at, path)) OVER (PARTITION BY modality) AS is_latest FROM m
 """)
 def file_upserts(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = views.table(spark, sf_dir, "events")
     seen = e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("modality"), F.floor("value").alias("size"), F.col("event_id").alias("mtime_ns"), F.col("ts").alias("seen_at"))
     k = F.col("c_custkey")
-    old = views.table(spark, sf_dir, "customer").where("c_custkey <= 200").select(F.concat(F.lit("f"), k.cast("string")).alias("path"), F.lit("view").alias("modality"), k.alias("size"), k.alias("mtime_ns"), F.element_at(F.array(F.lit("queued"), F.lit("done"), F.lit("running")), (k % 3 + 1).cast("int")).alias("status"), F.lit("2024-01-01").cast("timestamp_ntz").alias("seen_at"))
+    old = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), k.cast("string")).alias("path"), F.lit("view").alias("modality"), k.alias("size"), k.alias("mtime_ns"), F.element_at(F.array(F.lit("queued"), F.lit("done"), F.lit("running")), (k % 3 + 1).cast("int")).alias("status"), F.lit("2024-01-01").cast("timestamp_ntz").alias("seen_at"))
     return ledger.upsert_files(old, seen)
 
 
@@ -331,12 +344,12 @@ def stratified_split(spark, sf_dir):
 
 
 @query("split_overlap", """
-WITH r AS (SELECT c_nationkey AS v, CASE c_custkey % 7 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM customer WHERE c_custkey < 120), f AS (SELECT v, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS a, max(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS b, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS c FROM r GROUP BY v)
+WITH r AS (SELECT CAST(floor(c_acctbal) AS BIGINT) AS v, CASE c_custkey % 7 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM customer), f AS (SELECT v, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS a, max(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS b, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS c FROM r GROUP BY v)
 SELECT CAST(sum(a * b) AS BIGINT) AS train_val, CAST(sum(a * c) AS BIGINT) AS train_test, CAST(sum(b * c) AS BIGINT) AS val_test, CAST(sum(a * b * c) AS BIGINT) AS all_splits FROM f
 """)
 def split_overlap(spark, sf_dir):
     k = F.col("c_custkey") % 7
-    r = views.table(spark, sf_dir, "customer").where("c_custkey < 120").select(F.col("c_nationkey").alias("v"), F.when(k == 0, "val").when(k == 1, "test").otherwise("train").alias("split"))
+    r = views.table(spark, sf_dir, "customer").select(F.floor("c_acctbal").alias("v"), F.when(k == 0, "val").when(k == 1, "test").otherwise("train").alias("split"))
     return splits.overlap(r, "v")
 
 
