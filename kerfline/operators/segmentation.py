@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kerfline.functions import bursts
+
 
 def hysteresis(signal: DataFrame, on: float, off: float, on_frames: int, off_frames: int) -> DataFrame:
     """``rec, i, x`` to segments ``rec, seg, start, stop`` (indices, both inside) by a two-threshold state machine.
@@ -60,3 +66,64 @@ def sample_span(start, stop, sr, n):
     """Seconds to sample indices: rounded half to even, kept within the recording."""
     bound = lambda x: F.greatest(F.least(F.rint(x * sr).cast("long"), n), F.lit(0))
     return bound(start), bound(stop)
+
+
+def envelopes(chunks: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
+    """``rec, start, y, sr`` to ``rec, band, t, db``: the envelope of each band (numbered from 1), chunk by chunk.
+
+    ``start`` is the chunk's first sample in the recording, a multiple of the hop, and chunks overlap by a frame less a hop, so that every frame is
+    whole in exactly one chunk (see ``stretches``). No recording is ever one value."""
+    schema = f"rec {chunks.schema['rec'].dataType.simpleString()}, band int, t double, db double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                y, sr = np.asarray(batch.column(2)[i].values, float), batch.column(3)[i].as_py()
+                for k, (low, high) in enumerate(bands, 1):
+                    t, db = bursts.band_envelope(y, sr, low, high)
+                    rec = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(t), int)))
+                    yield pa.RecordBatch.from_arrays([rec, pa.array(np.full(len(t), k, "i4")), pa.array(t + batch.column(1)[i].as_py() / sr), pa.array(db)], names=["rec", "band", "t", "db"])
+
+    return chunks.select("rec", F.col("start").cast("long"), "y", F.col("sr").cast("double")).mapInArrow(run, schema)
+
+
+def stretches(y: np.ndarray, sr: float, seconds: float = 10.0, win_ms: float = 21.0, hop_ms: float = 5.0) -> list[tuple[int, np.ndarray]]:
+    """A recording in chunks of about so many seconds as ``envelopes`` takes them: ``(start, samples)``."""
+    length, hop = max(256, int(sr * win_ms / 1000)), max(1, int(sr * hop_ms / 1000))
+    frames = max(1, int(sr * seconds) // hop)
+    total = max(0, (len(y) - length) // hop + 1)
+    return [(f * hop, y[f * hop : (min(f + frames, total) - 1) * hop + length]) for f in range(0, max(total, 1), frames)]
+
+
+FOUND = "seg int, core_start double, core_stop double, padded_start double, padded_stop double, start double, stop double"
+
+
+def detected(envelope: DataFrame, expected: DataFrame, before: float = 0.20, after: float = 0.25) -> DataFrame:
+    """Bursts of each recording and band: ``rec, band`` and FOUND, in seconds, from ``envelope(rec, band, t, db)`` and ``expected(rec, expected, duration)``.
+
+    An envelope has some hundred values a second, whatever the recording's sample rate; one recording's is searched in one task. A recording without an
+    expected count fails. Cores are as detected, then padded within the recording, then moved to where the envelope is quiet."""
+    joined = envelope.join(expected, "rec", "left").withColumn("expected", F.when(F.col("expected").isNull(), F.raise_error(F.concat(F.lit("no expected count for "), F.col("rec").cast("string")))).otherwise(F.col("expected")).cast("int"))
+    rec = envelope.schema["rec"].dataType.simpleString()
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("t").to_numpy(), kind="stable")
+        t, db = (table.column(c).to_numpy()[order] for c in ("t", "db"))
+        found = bursts.detect(t, db, table.column("expected")[0].as_py())
+        core = found.seconds()
+        wide = np.clip(core + [-before, after], 0, table.column("duration")[0].as_py())
+        wide, core = wide[wide[:, 1] > wide[:, 0]], core[wide[:, 1] > wide[:, 0]]
+        final = bursts.edges(found, wide)
+        columns = [pa.array([k.as_py()] * len(core), f.type) for k, f in zip(key, (table.schema.field("rec"), table.schema.field("band")), strict=True)]
+        spans = [pa.array(a[:, i] if len(a) else [], pa.float64()) for a in (core, wide, final) for i in (0, 1)]
+        return pa.Table.from_arrays([*columns, pa.array(np.arange(1, len(core) + 1), pa.int32()), *spans], names=["rec", "band", *(f.split()[0] for f in FOUND.split(", "))])
+
+    return joined.groupBy("rec", "band").applyInArrow(run, f"rec {rec}, band int, {FOUND}")
+
+
+def segmented(chunks: DataFrame, expected: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
+    """Bursts of each recording in the first of the bands whose count is nearest to the one expected; with how many were found and whether that matches."""
+    each = detected(envelopes(chunks, bands), expected)
+    tried = each.groupBy("rec", F.col("band").alias("attempt")).agg(F.count(F.lit(1)).alias("found")).join(expected, "rec")
+    best = best_band(tried, "expected").select("rec", F.col("attempt").alias("band"), "found", (F.col("found") == F.col("expected")).alias("matched"))
+    return each.join(best, ["rec", "band"])

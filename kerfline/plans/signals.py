@@ -217,3 +217,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY abs(found - 20), at
 def band_fallback(spark, sf_dir):
     a = views.signals(spark, sf_dir).withColumn("level", F.explode(F.array(*map(F.lit, (100, 200, 300, 400))))).groupBy("rec", (F.col("level") / 100).cast("int").alias("attempt")).agg(F.count(F.when(F.col("x") > F.col("level"), 1)).alias("found"))
     return segmentation.best_band(a.withColumn("expected", F.lit(20)), "expected").select("rec", "attempt", "found")
+
+
+@query("detected_bursts")
+def detected_bursts(spark, sf_dir):
+    """Each user's events as an envelope of 20 values a second, three bursts expected. A search by bisection, which SQL has no words for."""
+    s = views.signals(spark, sf_dir)
+    envelope = s.select("rec", F.lit(1).alias("band"), (F.col("i") / F.lit(20.0)).alias("t"), F.col("x").alias("db"))
+    expected = s.groupBy("rec").agg(F.lit(3).alias("expected"), (F.max("i") / F.lit(20.0)).alias("duration"))
+    return segmentation.detected(envelope, expected)
