@@ -181,7 +181,7 @@ def counted(texts: DataFrame) -> DataFrame:
             for t in batch.column(0):
                 held.append(np.unique(word_hashes(t.as_py())))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield out()
                     held, size = [], 0
         if held:
@@ -231,7 +231,7 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     roots = link(
         members, fetch, lambda pairs, known: similar(pairs, known, weights, cfg), lambda ids, known: alone(ids, known, weights, cfg), cfg.threshold, scratch,
-        lambda rows, known: rare_pairs(rows, known, weights, cfg),
+        lambda rows, known: rare_pairs(rows, known, weights, cfg, scratch),
     )
     of = scratch.written(nodes.join(roots, "id", "left").select("node", "doc_id", "n", F.coalesce("root", "id").alias("root")), "rooted")
     named = scratch.written(of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "named")
@@ -255,7 +255,7 @@ def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFra
                 return known[node]
             out = known[node] = shingles(text.as_py(), weights.value, cfg.words)
             size += len(out[0])
-            while size > 2_000_000 and len(known) > 1:
+            while size > 1_000_000 and len(known) > 1:
                 size -= len(known.popitem(last=False)[1][0])
             return out
 
@@ -272,8 +272,8 @@ def spelled(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
+            for s in range(0, batch.num_rows, 64):
+                part = batch.slice(s, 64)
                 each = [shingles(t.as_py(), weights.value, cfg.words) for t in part.column(1)]
                 n = np.array([len(h) for h, _ in each], "i8")
                 h, w = (np.concatenate([e[k] for e in each]) for k in (0, 1))
@@ -291,7 +291,7 @@ def alone(ids: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
     return ids.join(total, "id", "left").select("id", F.coalesce("own", F.lit(0.0)).alias("own"))
 
 
-def rare_pairs(rows: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
+def rare_pairs(rows: DataFrame, texts: DataFrame, weights, cfg: Config, scratch: Scratch) -> DataFrame:
     """Of ``rows(id, size, own, root)`` the pairs ``a, b`` of different roots that can be similar, by prefixes of rare shingles.
 
     Let all shingles be ordered by the number of these rows that have them, rare ones first. Of two texts of sizes ``a <= b`` that are similar, what they have in
@@ -299,12 +299,12 @@ def rare_pairs(rows: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataF
     before more than the rest of its weight is over. Only shingles that early are joined; what many texts share is not among them
     unless they share nearly all. In the group of a shingle nothing is compared within the root that most of its rows have."""
     t = cfg.threshold
-    each = spelled(rows.select("id"), texts, weights, cfg)
+    each = scratch.written(spelled(rows.select("id"), texts, weights, cfg), "spelled")
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     order = W.partitionBy("id").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)  # within one text
     before = each.join(common.hint("merge"), "shingle").withColumn("before", F.coalesce(F.sum(F.col("w").cast("double")).over(order), F.lit(0.0)))
     early = before.join(rows.hint("merge"), "id").withColumn("before", (F.col("own") + F.col("before")) * (1 - 1e-6)).where(F.col("before") <= (1 - t) * F.col("size"))
-    early = early.select("shingle", "id", "size", "root", (F.col("before") <= (1 - 2 * t / (1 + t)) * F.col("size")).alias("first"))
+    early = scratch.written(early.select("shingle", "id", "size", "root", (F.col("before") <= (1 - 2 * t / (1 + t)) * F.col("size")).alias("first")), "early")
     by_root = early.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     main = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", "main")
     early = early.join(main.hint("merge"), "shingle").withColumn("inside", F.col("root") == F.col("main")).drop("main")

@@ -22,6 +22,8 @@ FAMILIES: dict[str, Callable] = {
     "hjorth": lambda x, sr: dsp.hjorth(x),
     "shape": dsp.spectral_shape,
     "band_ratios": lambda x, sr: dsp.band_ratios(x, sr, BANDS),
+    "dwt": lambda x, sr: dsp.wavelet_features(x),
+    "machining": lambda x, sr: dsp.machining(x, sr, env_sr=sr, hf_sr=sr),
     "packet": lambda x, sr: dsp.haar_packet(x, 3),
     "cepstrum": lambda x, sr: {f"cc_{i}": v for i, v in enumerate(dsp.cepstrum(x, sr).T)},
     "complexity": lambda x, sr: {"sampen": dsp.sample_entropy(x), "permen": dsp.permutation_entropy(x), "lz": dsp.lempel_ziv(x)},
@@ -63,3 +65,16 @@ def extract(signals: DataFrame, key: str, y: str, sr: float, families: tuple[str
 
 def long(features: DataFrame, key: str) -> DataFrame:
     return features.select(key, F.explode("features").alias("feature", "value"))
+
+
+def images(signals: DataFrame, key: str, y: str, sr: float, length: int, hop: int, **form) -> DataFrame:
+    """``key, bands, frames, image``: each signal's front-end image by rows, as ``dsp.spectrogram_image`` makes it; signals shorter than a frame have none."""
+    schema = f"{key} {signals.schema[key].dataType.simpleString()}, bands int, frames int, image array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.array(v.as_py() if v.is_valid else [], float) for v in batch.column(1)]
+            made = [dsp.spectrogram_image(r[None], sr, length, hop, **form)[0] if len(r) >= length else np.zeros((0, 0)) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.shape[0] for m in made], pa.int32()), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([m.ravel().astype("f4") for m in made], pa.list_(pa.float32()))], names=[key, "bands", "frames", "image"])
+
+    return signals.select(key, F.col(y).cast("array<double>")).mapInArrow(run, schema)

@@ -22,8 +22,8 @@ def chunked(signal: DataFrame, length: int, halo: int) -> DataFrame:
     return signal.withColumn("chunk", F.explode(F.sequence(first, last))).withColumn("own", F.col("chunk") == at)
 
 
-def difference(x: str = "x", lag: int = 1, by: tuple[str, ...] = ("rec",)) -> Column:
-    return F.col(x) - F.lag(x, lag).over(along(*by))
+def difference(x: str = "x", lag: int = 1, by: tuple[str, ...] = ("rec",), order: str = "i") -> Column:
+    return F.col(x) - F.lag(x, lag).over(along(*by, order=order))
 
 
 def rolling_quantile(q: float, width: int, x: str = "x", by: tuple[str, ...] = ("rec",)) -> Column:

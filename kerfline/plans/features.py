@@ -86,3 +86,33 @@ def signal_similarity(spark, sf_dir):
 def kernel_features(spark, sf_dir):
     e = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return features.long(features.extract(e, "vec_id", "embedding", 64.0), "vec_id")
+
+
+@query("spectrogram_images")
+def spectrogram_images(spark, sf_dir):
+    """Log-mel images of the vectors as signals; a front end's kernel, which SQL has no words for."""
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return features.images(e, "vec_id", "embedding", 64.0, 16, 4, bands=6, low=1.0)
+
+
+@query("echo_reduction", """
+SELECT user_id AS rec, round(10 * log10((avg(value * value) + 1e-12) / (avg(pow(value - 5, 2)) + 1e-12)), 5) AS erle_db FROM events GROUP BY user_id
+""")
+def echo_reduction(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), F.col("value").alias("d"), (F.col("value") - 5).alias("e"))
+    power = lambda c: F.avg(F.col(c) * F.col(c)) + 1e-12
+    return e.groupBy("rec").agg(F.round(10 * F.log10(power("d") / power("e")), 5).alias("erle_db"))
+
+
+@query("window_deltas", f"""
+WITH {views.SIGNALS}, w AS (SELECT rec, i // 8 AS win, avg(x) AS m FROM sig GROUP BY 1, 2), a AS (SELECT *, m - lag(m) OVER (PARTITION BY rec ORDER BY win) AS d FROM w), b AS (SELECT *, d - lag(d) OVER (PARTITION BY rec ORDER BY win) AS dd FROM a)
+SELECT rec, CASE WHEN count(d) >= 2 THEN round(avg(d), 5) END AS d_mean, CASE WHEN count(d) >= 2 THEN round(stddev_pop(d), 5) END AS d_std, CASE WHEN count(d) >= 2 THEN round(max(d), 5) END AS d_max,
+       CASE WHEN count(dd) >= 2 THEN round(avg(dd), 5) END AS dd_mean, CASE WHEN count(dd) >= 2 THEN round(stddev_pop(dd), 5) END AS dd_std, CASE WHEN count(dd) >= 2 THEN round(max(dd), 5) END AS dd_max FROM b GROUP BY rec
+""")
+def window_deltas(spark, sf_dir):
+    w = views.signals(spark, sf_dir).groupBy("rec", F.floor(F.col("i") / 8).alias("win")).agg(F.avg("x").alias("m"))
+    d = w.withColumn("d", windows.difference("m", by=("rec",), order="win"))
+    d = d.withColumn("dd", windows.difference("d", by=("rec",), order="win"))
+    enough = lambda f, c, name: F.when(F.count(c) >= 2, F.round(f(c), 5)).alias(name)
+    stats = [enough(f, c, f"{c}_{n}") for c in ("d", "dd") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max))]
+    return d.groupBy("rec").agg(*stats)

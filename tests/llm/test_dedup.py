@@ -201,7 +201,7 @@ def test_texts_that_share_a_passage_make_few_pairs(spark):
         weights = spark.sparkContext.broadcast(near_dup.Weights(near_dup.np.zeros(0, "u8"), near_dup.np.zeros(0, "i8"), n, 1024))
         own = near_dup.alone(rows.select("id"), docs.select(F.col("doc_id").alias("id"), F.col("text").alias("norm")), weights, near_dup.Config())
         rows = rows.drop("own").join(own, "id")
-        counted.append(near_dup.rare_pairs(rows, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("norm")), weights, near_dup.Config()).count())
+        counted.append(near_dup.rare_pairs(rows, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("norm")), weights, near_dup.Config(), Scratch(spark, "test")).count())
     assert counted == [0, 0]
 
 
