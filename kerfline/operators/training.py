@@ -7,6 +7,7 @@ driver is one square matrix of the features a fold.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -76,3 +77,75 @@ def paired(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     out = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"))
     return out.withColumn("t", F.try_divide(F.col("mean") * F.sqrt("n"), F.col("sd"))).withColumn("dz", F.try_divide("mean", "sd"))
+
+
+def t_cdf(t: float, df: float) -> float:
+    """Student's distribution function, by the continued fraction of the incomplete beta function."""
+    if t == 0 or df <= 0:
+        return 0.5
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(max(x, 1e-300)) + b * log(max(1 - x, 1e-300))) / a
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d or 1e-300)
+        c = 1 + step / c or 1e-300
+        f *= c * d
+        if i and abs(1 - c * d) < 1e-14:
+            break
+    part = front * (f - 1)
+    part = 1 - part if flip else part
+    return 1 - part / 2 if t > 0 else part / 2
+
+
+def paired_tests(rows: DataFrame, a: str, b: str, delta: float, by: str, alpha: float = 0.05) -> DataFrame:
+    """Per group: mean difference, t with its two-sided p, effect size, the two one-sided tests against ``delta`` and whether they agree on equivalence, and Wilcoxon's signed-rank
+    statistic with the p of its normal form (ties averaged, zeros left out). Sums come from Spark; one row a group is finished here."""
+    from kerfline.operators.windows import average_ranks
+
+    d = rows.select(by, (F.col(a) - F.col(b)).alias("d")).dropna()
+    signed = d.where("d <> 0").withColumn("size", F.round(F.abs("d"), 12))
+    ranks = average_ranks(signed.select(F.col(by).cast("string").alias("_g"), "size"), "size", "_g")
+    ranked = signed.withColumn("_g", F.col(by).cast("string")).join(ranks, ["_g", "size"])
+    ties = ranked.groupBy(by, "size").agg(F.count(F.lit(1)).alias("t")).groupBy(by).agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"))
+    w = ranked.groupBy(by).agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("down"), F.count(F.lit(1)).alias("m"))
+    sums = paired(rows, a, b, by).join(w, by, "left").join(ties, by, "left")
+    m = F.col("m").cast("double")
+    z = F.try_divide(F.least("up", "down") - m * (m + 1) / 4, F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("ties") / 2) / 24))
+    sums = sums.withColumns({"w": F.least("up", "down"), "w_z": z, "se": F.col("sd") / F.sqrt("n")})
+
+    def finished(batches):
+        import pandas as pd
+        from math import erfc, sqrt
+
+        for batch in batches:
+            r: pd.DataFrame = batch
+            df = r["n"] - 1
+            p = [2 * (1 - t_cdf(abs(t), k)) if t == t else None for t, k in zip(r["t"], df, strict=True)]
+            low = [1 - t_cdf((x + delta) / s, k) if s and s == s else None for x, s, k in zip(r["mean"], r["se"], df, strict=True)]
+            high = [t_cdf((x - delta) / s, k) if s and s == s else None for x, s, k in zip(r["mean"], r["se"], df, strict=True)]
+            same = [None if x is None else x < alpha and y < alpha for x, y in zip(low, high, strict=True)]
+            w_p = [erfc(abs(x) / sqrt(2)) if x == x and x is not None else None for x in r["w_z"]]
+            yield r[[by, "n", "mean", "t", "dz", "w"]].assign(p=p, tost_p1=low, tost_p2=high, equivalent=same, w_p=w_p)
+
+    kind = rows.schema[by].dataType.simpleString()
+    return sums.select(by, "n", "mean", "t", "dz", "w", "w_z", "se").mapInPandas(finished, f"{by} {kind}, n long, mean double, t double, dz double, w double, p double, tost_p1 double, tost_p2 double, equivalent boolean, w_p double")
+
+
+def bootstrap_mean(rows: DataFrame, value: str, draws: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """``low, high`` of the mean over resamples: each row counts in each resample as often as a Poisson draw of mean 1 says, so no resample is ever gathered."""
+    # Inverse of the Poisson distribution on a number in [0, 1) by the row's id and the resample.
+    steps, total, at = [], 0.0, exp(-1.0)
+    for k in range(1, 12):
+        total += at
+        steps.append(total)
+        at /= k
+    each = rows.select(F.xxhash64(*rows.columns).alias("_h"), F.monotonically_increasing_id().alias("_i"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    u = F.pmod(F.xxhash64("_h", "_i", "_k", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
+    means = each.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy("_k").agg((F.sum(times * F.col("_v")) / F.sum(times)).alias("m"))
+    return means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))

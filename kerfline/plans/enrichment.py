@@ -44,11 +44,11 @@ def reference_error_fallback(spark, sf_dir):
     return m.select("run", F.round(fusion.reference_mae(measured, F.lit(0.03415)), 6).alias("reference_mae"))
 
 
-@query("consensus_ranking", """
+@query("scaled_mean_ranking", """
 WITH s AS (SELECT p_brand AS feature, avg(p_retailprice) AS a, avg(p_size) AS b FROM part GROUP BY p_brand)
 SELECT feature, round(((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ())) / 2, 6) AS consensus FROM s
 """)
-def consensus_ranking(spark, sf_dir):
+def scaled_mean_ranking(spark, sf_dir):
     s = views.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("a"), F.avg("p_size").alias("b"))
     return selection.ranked(s, ["a", "b"]).select("feature", *rounded("consensus"))
 
