@@ -1,9 +1,11 @@
-"""Structured Streaming jobs. Each has the same result as its batch form; checkpoints make them safe to restart."""
+"""Structured Streaming jobs. Over all windows that a watermark has closed, and all recordings that were ended, each has the result of its batch form;
+checkpoints make them safe to restart."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +40,51 @@ def sessions(events: DataFrame, gap: str, late: str, by: str) -> DataFrame:
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), by, "n", "peak")
 
 
+def _ends(ok: np.ndarray, need: int, carried: int) -> np.ndarray:
+    """Where runs of true reach ``need``, the first run being ``carried`` longer than seen here."""
+    at = np.arange(len(ok))
+    since = np.maximum.accumulate(np.where(ok, -1, at))
+    length = np.where(since < 0, at + 1 + carried, at - since)
+    return np.flatnonzero(ok & (length >= need))
+
+
 def segmenter(frames: DataFrame, on: float, off: float, on_frames: int, off_frames: int) -> DataFrame:
-    """``rec, i, x`` in order to closed segments ``rec, start, stop`` by the two-threshold machine, state kept a record."""
+    """``rec, i, x`` in order to segments ``rec, start, stop`` by the two-threshold machine, state kept a record.
+
+    A row whose x is null ends its record: a segment still open stops at the sample before, as in the batch form, and the state is dropped."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, ups, downs, start = state.get if state.exists else (False, 0, 0, 0)
-        done: list[tuple] = []
-        for row in pd.concat(list(batches)).sort_values("i").itertuples(index=False):
-            if not active:
-                ups = ups + 1 if row.x > on else 0
-                if ups >= on_frames:
-                    active, downs, start = True, 0, row.i - on_frames + 1
+        active, run, start = state.get if state.exists else (False, 0, 0)
+        rows = pd.concat(list(batches)).sort_values("i")
+        i, x = rows["i"].to_numpy(), rows["x"].to_numpy(float)
+        over = np.isnan(x)
+        closes = int(i[over][0]) if over.any() else None
+        i, x = i[~over], x[~over]
+        up, down = _ends(x > on, on_frames, 0 if active else run), _ends(x < off, off_frames, run if active else 0)
+        done, at = [], 0
+        while True:
+            marks = down if active else up
+            k = np.searchsorted(marks, at)
+            if k == len(marks):
+                break
+            here = int(marks[k])
+            if active:
+                done.append((key[0], start, int(i[here]) - off_frames))
             else:
-                downs = downs + 1 if row.x < off else 0
-                if downs >= off_frames:
-                    done.append((key[0], start, row.i - off_frames))
-                    active, ups = False, 0
-        state.update((bool(active), int(ups), int(downs), int(start)))
+                start = int(i[here]) - on_frames + 1
+            active, at, run = not active, here + 1, 0
+        if closes is not None:
+            if active:
+                done.append((key[0], start, closes - 1))
+            state.remove()
+        else:
+            tail = (x < off) if active else (x > on)
+            rest = tail[at:]
+            run = len(rest) - (int(np.flatnonzero(~rest)[-1]) + 1 if (~rest).any() else 0) + (run if at == 0 and rest.all() else 0)
+            state.update((bool(active), int(run), int(start)))
         yield pd.DataFrame(done, columns=["rec", "start", "stop"])
 
-    return frames.groupBy("rec").applyInPandasWithState(step, "rec long, start long, stop long", "active boolean, ups long, downs long, start long", "append", "NoTimeout")
+    return frames.groupBy("rec").applyInPandasWithState(step, "rec long, start long, stop long", "active boolean, run long, start long", "append", "NoTimeout")
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", batch=None) -> None:
@@ -67,15 +94,37 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append
     query.awaitTermination()
 
 
-def ledger_sink(path: str):
-    """``foreachBatch`` function that applies sightings of files to the ledger table in versioned folders.
+LEDGER = "path string, modality string, size long, mtime_ns long, status string, seen_at timestamp, is_latest boolean"
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a ledger that are complete."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def ledger_sink(path: str, first: int = 0, keep: int = 3):
+    """``foreachBatch`` function that applies sightings of files to the ledger table in versioned folders, of which the last ``keep`` stay.
 
-    A batch that runs again writes the version it wrote before, so a restart changes nothing."""
+    Batch b writes version ``first + b`` from the one before it, also when it runs again, so a restart changes nothing. A new checkpoint goes on from
+    an old ledger with ``first`` one above its last version (see ``versions``)."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = "path string, modality string, size long, mtime_ns long, status string, seen_at timestamp"
-        before = spark.read.schema(columns).parquet(f"{path}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], columns)
-        ledger.upsert_files(before, batch).drop("is_latest").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark, now = batch.sparkSession, first + batch_id
+        there = versions(spark, path)
+        before = spark.read.schema(LEDGER).parquet(f"{path}/v={now - 1}") if now - 1 in there else spark.createDataFrame([], LEDGER)
+        ledger.upsert_files(before.drop("is_latest"), batch).write.mode("overwrite").parquet(f"{path}/v={now}")
+        for v in there:
+            if v <= now - keep:
+                at, fs = _folder(spark, f"{path}/v={v}")
+                fs.delete(at, True)
 
     return apply
