@@ -6,11 +6,12 @@ capacities. A row is written with its ids, the cumulative lengths of its segment
 places where positions start again at 0 (``resets``); ``doc_ids`` and ``doc_starts`` say which part of which
 document each segment is.
 
-Packing runs over stretches of an input partition (``stretch`` documents), so nothing is shuffled, memory is bounded
-and a lost task gives the same rows when it runs again.
+Documents are dealt to buckets of about ``stretch`` by a hash of id and text, and packed bucket by bucket in order of id, so rows and their ids depend on the
+documents only, not on how the input is divided. A bucket with more than ``tokens`` ids is packed in several goes, so memory is bounded; a lost
+task gives the same rows when it runs again.
 
 Defined results: documents without ids (null or empty texts) have no segment and appear in no row; rows that
-repeat an id are packed each for itself; an empty table gives no rows; other columns are not read.
+repeat an id, and rows without one, are packed each for itself; texts may be of any length; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +114,7 @@ def encoding(raw: bytes) -> tiktoken.Encoding:
 def pack(docs: DataFrame, room: int = 2048, vocabulary: str = VOCABULARY, eos: int | None = 50256, stretch: int = 4096, tokens: int = 4 << 20) -> DataFrame:
     """``docs(doc_id, text)`` to packed rows; ids are little-endian, 2 bytes each if they fit, else 4.
 
-    ``eos`` ends each document. A stretch ends at ``stretch`` documents or ``tokens`` ids, whichever comes first."""
+    ``eos`` ends each document."""
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
 
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, room: int = 2048, vocabulary: str = VOCABULARY, eos: i
         end = [] if eos is None else [eos]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         types = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        held, size, part, n = [], 0, TaskContext.get().partitionId(), 0
+        held, size, part, n = [], 0, None, 0
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = [(f"{part}-{n}-{i}", *r) for i, r in enumerate(pack_rows(held, room))]
@@ -133,19 +133,22 @@ def pack(docs: DataFrame, room: int = 2048, vocabulary: str = VOCABULARY, eos: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for batch in batches:
-            ids, texts = batch.columns
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                if text:
-                    held.append((ids[i].as_py(), np.array(coder.encode_ordinary(text) + end, kind)))
-                    size += len(held[-1][1])
-                if len(held) >= stretch or size >= tokens:
+            ids, texts, buckets = batch.columns
+            for i, bucket in enumerate(buckets.to_pylist()):
+                if held and (bucket != part or size >= tokens):
                     yield from out()
-                    held, size, n = [], 0, n + 1
+                    held, size, n = [], 0, n + 1 if bucket == part else 0
+                part = bucket
+                held.append((ids[i].as_py(), np.array(coder.encode_ordinary(texts[i].as_py()) + end, kind)))
+                size += len(held[-1][1])
         if held:
             yield from out()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
+    buckets = max(1, -(-docs.count() // stretch))
+    mark = F.xxhash64("doc_id", "text")
+    dealt = full.withColumn("bucket", F.pmod(mark, F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "doc_id", mark)
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def write(packed: DataFrame, path: str) -> None:

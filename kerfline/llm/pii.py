@@ -3,14 +3,14 @@ r"""Personal data: fixed patterns, and boosted trees over further candidates.
 Base spans come from four fixed patterns and always stay. Beside them, generators of high recall propose spans
 that may overlap: digit groups with separators, spelled-out mail addresses, account numbers. Gradient boosted trees
 score each by features of its form and of the words around it; scores are calibrated by isotonic regression on
-examples not trained on, and what reaches the calibrated ``threshold`` is selected, best first, without overlap
-among themselves or with a base span.
+examples not trained on, on which also each kind gets its own threshold: the least probability from which on the share of personal spans is at least
+``precision``. What reaches its kind's threshold is selected, best first, without overlap among themselves or with a base span.
 
 There is no labelled table of personal data. The trees learn from examples that ``examples`` makes by rule: numbers
 and addresses of known kind set among words that speak for or against personal data.
 
 Spans count code points, end exclusive. Defined results: a null text counts as empty and has no spans; rows that
-repeat an id are scanned each for itself; other columns are not read; an empty table gives an empty result.
+repeat an id are scanned each for itself; texts may be of any length; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?:
 # Words of context that the features count.
 FOR = ("phone", "tel", "call", "mobile", "cell", "fax", "ssn", "social security", "iban", "account", "mail", "contact", "reach", "write to", "whatsapp", "telefon", "mobil", "anruf", "appel", "llam")
 AGAINST = ("order", "invoice", "isbn", "version", "page", "date", "year", "build", "serial", "part no", "revision", "figure", "section", "total", "price")
+PRECISION = 0.95
 REACH = 32  # characters of context on either side
 
 
@@ -130,6 +131,7 @@ class Trees:
     edges: np.ndarray | None = None
     steps: np.ndarray | None = None
     levels: np.ndarray | None = None
+    cuts: dict[int, float] = field(default_factory=dict)
 
     def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
         """Rows where ``held`` is true calibrate, the others train."""
@@ -224,9 +226,20 @@ def examples(n: int = 4000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x, "f8"), np.array(y)
 
 
-def train(n: int = 4000, seed: int = 3) -> Trees:
+def train(n: int = 4000, seed: int = 3, precision: float = PRECISION) -> Trees:
     x, y = examples(n, seed)
-    return Trees().fit(x, y, np.arange(len(y)) % 3 == 0)
+    held = np.arange(len(y)) % 3 == 0
+    model = Trees().fit(x, y, held)
+    p = model.probability(x[held])
+    for kind in range(len(BASE), len(KINDS)):
+        own = x[held][:, kind - len(BASE)] > 0
+        level, hits = p[own], y[held][own]
+        order = np.argsort(-level, kind="stable")
+        share = np.cumsum(hits[order]) / np.arange(1, len(order) + 1)
+        last = np.append(np.diff(level[order]) != 0, True)  # of equal probabilities all or none
+        good = np.flatnonzero(last & (share >= precision))
+        model.cuts[kind] = float(level[order][good[-1]]) if len(good) else 2.0
+    return model
 
 
 class Spans:
@@ -253,7 +266,7 @@ class Spans:
         self.ends.insert(i, end)
 
 
-def select(text: str, base: list[tuple[int, int, int]], model: Trees, threshold: float) -> list[tuple[int, int, int]]:
+def select(text: str, base: list[tuple[int, int, int]], model: Trees) -> list[tuple[int, int, int]]:
     """Spans that the model adds."""
     taken = Spans((s, e) for _, s, e in base)
     free = [c for c in candidates(text) if not taken.meets(c[1], c[2])]
@@ -262,9 +275,7 @@ def select(text: str, base: list[tuple[int, int, int]], model: Trees, threshold:
     p = model.probability(np.array([features(text, *c) for c in free], "f8"))
     chosen: list[tuple[int, int, int]] = []
     for i in np.lexsort(([c[1] for c in free], -p)):
-        if p[i] < threshold:
-            break
-        if not taken.meets(free[i][1], free[i][2]):
+        if p[i] >= model.cuts[free[i][0]] and not taken.meets(free[i][1], free[i][2]):
             taken.add(free[i][1], free[i][2])
             chosen.append(free[i])
     return sorted(chosen)
@@ -284,9 +295,9 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, threshold: float = 0.9, redacted: bool = False) -> DataFrame:
+def scan(docs: DataFrame, precision: float = PRECISION, redacted: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_<base kinds>, base_sha256, spans``, and the redacted text if asked for."""
-    model = train()
+    model = train(precision=precision)
     schema = docs.select("doc_id").schema
     for k in BASE:
         schema = schema.add(f"n_{k}", "long")
@@ -302,7 +313,7 @@ def scan(docs: DataFrame, threshold: float = 0.9, redacted: bool = False) -> Dat
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                spans = base + select(text, base, model, threshold)
+                spans = base + select(text, base, model)
                 counts = [0] * len(BASE)
                 for k, _, _ in base:
                     counts[k] += 1

@@ -136,6 +136,9 @@ def test_packing_is_best_fit(case):
 
 
 def test_packed_rows_give_the_documents_back(odd_docs, no_docs):
+    whole = [r for r in packing.pack(odd_docs, room=64, stretch=3).collect()]
+    assert sum(d is None and s == 0 for r in whole for d, s in zip(r.doc_ids, r.doc_starts, strict=True)) == 1
+    assert sum(d == 2 and s == 0 for r in whole for d, s in zip(r.doc_ids, r.doc_starts, strict=True)) == 2
     docs = odd_docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = packing.pack(docs, room=64, stretch=3).collect()
     coder = packing.encoding(open(packing.VOCABULARY, "rb").read())
@@ -154,3 +157,11 @@ def test_packed_rows_give_the_documents_back(odd_docs, no_docs):
     ids, positions = packing.matrix(rows, 64)
     assert ids.shape == positions.shape == (len(rows), 64) and (positions[:, 0] == 0).all()
     assert packing.pack(no_docs).count() == 0
+
+
+def test_packed_rows_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, "word " * RNG.randint(0, 90)) for i in range(500)], "doc_id long, text string")
+    key = lambda r: (r.row_id, r.n_tokens, tuple(r.doc_ids), tuple(r.doc_starts))
+    found = [sorted(map(key, packing.pack(docs.repartition(n), room=128, stretch=100).collect())) for n in (1, 5, 16)]
+    assert found[0] == found[1] == found[2]
+    assert sum(r[1] for r in found[0]) / (128 * len(found[0])) > 0.97
