@@ -304,13 +304,15 @@ def rare_pairs(rows: DataFrame, texts: DataFrame, weights, cfg: Config, scratch:
     order = W.partitionBy("id").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)  # within one text
     before = each.join(common.hint("merge"), "shingle").withColumn("before", F.coalesce(F.sum(F.col("w").cast("double")).over(order), F.lit(0.0)))
     early = before.join(rows.hint("merge"), "id").withColumn("before", (F.col("own") + F.col("before")) * (1 - 1e-6)).where(F.col("before") <= (1 - t) * F.col("size"))
-    early = scratch.written(early.select("shingle", "id", "size", "root", (F.col("before") <= (1 - 2 * t / (1 + t)) * F.col("size")).alias("first")), "early")
+    early = early.select("shingle", "id", "size", "root", (F.col("size") - F.col("before")).alias("left"), (F.col("before") <= (1 - 2 * t / (1 + t)) * F.col("size")).alias("first"))
+    early = scratch.written(early, "early")
     by_root = early.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     main = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", "main")
     early = early.join(main.hint("merge"), "shingle").withColumn("inside", F.col("root") == F.col("main")).drop("main")
     out = early.where("NOT inside").drop("inside")
-    other = early.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "root", "first", "inside")))
+    other = early.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "root", "left", "first", "inside")))
     smaller = F.struct("size", "id") < F.struct("b_size", "b_id")
     can = (F.col("root") != F.col("b_root")) & (F.col("b_inside") | (F.col("id") < F.col("b_id"))) & F.when(smaller, F.col("first")).otherwise(F.col("b_first"))
-    sizes = F.least("size", "b_size") >= t * F.greatest("size", "b_size") * (1 - 1e-9)
-    return out.join(other.hint("merge"), "shingle").where(can & sizes).select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
+    # At the first shingle that both have, all they can have in common is still to come.
+    enough = F.least("left", "b_left") * (1 + 1e-6) >= t / (1 + t) * (F.col("size") + F.col("b_size"))
+    return out.join(other.hint("merge"), "shingle").where(can & enough).select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
