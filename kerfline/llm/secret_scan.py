@@ -9,7 +9,7 @@ Spans are counted in code points, end exclusive. Positions come from the lengths
 and of the matches, so all of it stays in SQL functions.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat an id are scanned each for
-itself; a null id is an id; an empty table gives an empty result; other columns are not read.
+itself; a null id is an id; texts may be of any length; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -137,15 +137,20 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return sorted(sorted(c) for c in _derive(_parser.parse(pattern)))
 
 
+def mark() -> Column:
+    """What postings name a document by: a hash of id and text, so that rows without an id do not meet. Rows that share one are verified, whichever was meant."""
+    return F.xxhash64("doc_id", "text")
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """``doc_id, trigram``: the posting lists of the given trigrams, over lower-case texts."""
-    low = docs.select("doc_id", F.lower(text_or_empty()).alias("low"))
+    """``mark, trigram``: the posting lists of the given trigrams, over lower-case texts."""
+    low = docs.select(mark().alias("mark"), F.lower(text_or_empty()).alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams)))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    return low.select("mark", F.explode(held).alias("trigram")).distinct()
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``doc_id, kinds``: for each document that can match, the kinds of the rules to verify."""
+    """``mark, kinds``: for each document that can match, the kinds of the rules to verify."""
     clauses = [(r.kind, n, c) for r in rules for n, c in enumerate(trigram_query(r.pattern)) if c]
     wanted = sorted({t for _, _, c in clauses for t in c})
     asked = docs.sparkSession.range(1).select(F.inline(F.array(*(
@@ -153,8 +158,8 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         for kind, n, c in clauses for i, t in enumerate(c)
     ))))
     # The rule table is as large as the rules, whatever the corpus.
-    met = postings(docs, wanted).join(F.broadcast(asked), "trigram").groupBy("doc_id", "kind", "clause", "all").agg(F.bit_or("bit").alias("got"))
-    return met.where(F.col("got") == F.col("all")).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    met = postings(docs, wanted).join(F.broadcast(asked), "trigram").groupBy("mark", "kind", "clause", "all").agg(F.bit_or("bit").alias("got"))
+    return met.where(F.col("got") == F.col("all")).groupBy("mark").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(rule: Rule, rank: int, text: Column, apply: Column) -> tuple[Column, Column, Column]:
@@ -169,10 +174,9 @@ def _spans(rule: Rule, rank: int, text: Column, apply: Column) -> tuple[Column,
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """``docs(doc_id, text)`` to one row a document: doc_id and ``found``, an array of (start, rank, kind, end)."""
-    pairs = docs.select("doc_id", text_or_empty().alias("text"))
-    could = candidates(docs, rules).withColumnRenamed("doc_id", "_id")
+    pairs = docs.select("doc_id", text_or_empty().alias("text"), mark().alias("mark"))
     free = {r.kind for r in rules if trigram_query(r.pattern) == [[]]}
-    both = pairs.join(could, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    both = pairs.join(candidates(docs, rules), "mark", "left")
     parts = ["doc_id"]
     for rank, r in enumerate(rules):
         apply = F.col("text").rlike(r.pattern) if r.kind in free else F.coalesce(F.array_contains("kinds", r.kind), F.lit(False))
@@ -185,14 +189,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
+#: Matches placed in one go; their spans are then put to those before.
+BLOCK = 256
+
+
 def _placed(rank: int, r: Rule) -> Column:
+    """Spans of one rule's matches, by adding up the lengths of matches and of the pieces between. Blocks keep the time for many matches in one text in proportion."""
     whole, part, gap = f"whole{rank}", f"part{rank}", f"gap{rank}"
+    span = f"named_struct('start', s.at + length({gap}[i]), 'rank', {rank}, 'kind', '{r.kind}', 'end', s.at + length({gap}[i]) + length({whole}[i]))"
+    block = (
+        f"aggregate(sequence(b * {BLOCK}, least(size({whole}), (b + 1) * {BLOCK}) - 1), named_struct('at', o.at, 'out', cast(array() AS {SPANS})), (s, i) -> named_struct("
+        f"'at', s.at + length({gap}[i]) + length({whole}[i]), 'out', CASE WHEN length({part}[i]) >= {r.least} THEN array_append(s.out, {span}) ELSE s.out END))"
+    )
     return F.when(F.size(whole) > 0, F.expr(
-        f"filter(aggregate(sequence(0, size({whole}) - 1), "
-        f"named_struct('at', 0L, 'out', cast(array() AS {SPANS})), "
-        f"(s, i) -> named_struct('at', s.at + length({gap}[i]) + length({whole}[i]), 'out', CASE WHEN length({part}[i]) >= {r.least} "
-        f"THEN array_append(s.out, named_struct('start', s.at + length({gap}[i]), 'rank', {rank}, 'kind', '{r.kind}', 'end', s.at + length({gap}[i]) + length({whole}[i]))) ELSE s.out END), "
-        f"s -> s.out), x -> x.end > x.start)"
+        f"filter(flatten(aggregate(sequence(0, CAST((size({whole}) - 1) DIV {BLOCK} AS INT)), named_struct('at', 0L, 'out', cast(array() AS array<{SPANS}>)), "
+        f"(o, b) -> transform(array({block}), d -> named_struct('at', d.at, 'out', array_append(o.out, d.out)))[0], o -> o.out)), x -> x.end > x.start)"
     ))
 
 

@@ -57,7 +57,7 @@ def brute_secrets(text):
 
 def test_secrets_equal_brute_force(spark):
     parts = ["password", "PASSWD", "token", "api_key", "apikey", "secret", "=", ": ", '"', "abc", "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é🙂", " ", "\n", "="]
-    texts = ["".join(RNG.choices(parts, k=RNG.randint(0, 30))) for _ in range(400)]
+    texts = ["".join(RNG.choices(parts, k=RNG.randint(0, 30))) for _ in range(400)] + ["token=abcdef " * 1500 + "é password: 1234567"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in secret_scan.scan(docs).collect():
         base = [tuple(s) for s in r.found if s.rank < 3]
