@@ -42,17 +42,19 @@ def fuse(rows: DataFrame, members: int, floor: float = FLOOR) -> DataFrame:
 
     Weights go over the members that have a prediction; a record where none has one stays, with nulls."""
     by = W.partitionBy("record_name")
-    every = aligned(rows, members)
-    have = every.where(F.col("y_pred").isNotNull() & ~F.isnan("y_pred"))
-    w = have.withColumn("w", normalised(raw_weight(F.col("validation_mae"), floor), by))
+    # Members without a prediction stay as rows without a weight, so truth and fusion come from one grouping.
+    ok = F.col("y_pred").isNotNull() & ~F.isnan("y_pred")
+    raw = F.when(ok, raw_weight(F.col("validation_mae"), floor))
+    bad = ok & (raw.isNull() | F.isnan(raw) | (raw == float("inf")) | (raw <= 0))
+    weight = F.when(F.max(bad.cast("int")).over(by) == 1, 1 / F.count(F.when(ok, 1)).over(by)).otherwise(raw / F.sum(raw).over(by))
+    w = aligned(rows, members).withColumn("w", F.when(ok, weight))
     mu = w.withColumn("mu", F.sum(F.col("w") * F.col("y_pred")).over(by))
     spread = F.col("w") * (F.pow(F.col("y_pred") - F.col("mu"), 2) + F.pow(F.coalesce("sigma", F.lit(0.0)), 2))
-    fused = mu.groupBy("record_name").agg(
-        F.max("mu").alias("y_pred"), F.sqrt(F.greatest(F.sum(spread), F.lit(0.0))).alias("sigma"),
-        F.sum(F.col("w") * F.col("validation_mae")).alias("reference_mae"), F.count(F.lit(1)).alias("members"),
+    out = mu.groupBy("record_name").agg(
+        F.max("y_true").alias("y_true"), F.max("mu").alias("y_pred"), F.sqrt(F.when(F.count("w") > 0, F.greatest(F.sum(spread), F.lit(0.0)))).alias("sigma"),
+        F.sum(F.col("w") * F.col("validation_mae")).alias("reference_mae"), F.nullif(F.count("w"), F.lit(0)).alias("members"),
     )
-    truth = every.groupBy("record_name").agg(F.max("y_true").alias("y_true"))
-    return truth.join(fused, "record_name", "left")
+    return out
 
 
 def disagreement(rows: DataFrame, members: int, floor: float = FLOOR) -> DataFrame:
