@@ -172,3 +172,14 @@ def normalised_shares(*shares: float) -> tuple[float, ...]:
 def epochs(repeats: DataFrame, column: str = "best_epoch") -> DataFrame:
     """Median of the repeats, cut to a whole number."""
     return repeats.agg(F.percentile(column, 0.5).cast("int").alias("epochs"))
+
+
+#: Fixed value: what a control recording's name says.
+CONTROL = r"(?i)^.*?_seg(\d+).*?step(\d+).*?__([A-G][1-7])__depth(\d+\.\d+)\.flac$"
+
+
+def control_files(files: DataFrame, name: str) -> DataFrame:
+    """Files whose names say segment, step, hole and depth, with these; the others are left out."""
+    part = lambda i, kind: F.regexp_extract(name, CONTROL, i).cast(kind)
+    there = files.where(F.col(name).rlike(CONTROL))
+    return there.withColumns({"seg": part(1, "int"), "step": part(2, "int"), "hole": F.upper(part(3, "string")), "depth": part(4, "double")})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kerfline.functions import bursts
+from kerfline.functions import bursts, names
 
 
 def hysteresis(signal: DataFrame, on: float, off: float, on_frames: int, off_frames: int) -> DataFrame:
@@ -127,3 +127,11 @@ def segmented(chunks: DataFrame, expected: DataFrame, bands: list[tuple[float, f
     tried = each.groupBy("rec", F.col("band").alias("attempt")).agg(F.count(F.lit(1)).alias("found")).join(expected, "rec")
     best = best_band(tried, "expected").select("rec", F.col("attempt").alias("band"), "found", (F.col("found") == F.col("expected")).alias("matched"))
     return each.join(best, ["rec", "band"])
+
+
+def manifest(segments: DataFrame, doe: DataFrame, recordings: DataFrame, suffix: str = ".wav") -> DataFrame:
+    """A row a segment: its place in the plan, its file name and its samples, from ``segments(rec, start, stop, ...)``, ``doe(pos, step, hole_id, depth_mm)`` and ``recordings(rec, sr, n)``."""
+    placed = numbered(segments, doe).join(recordings, "rec")
+    first, last = sample_span(F.col("start"), F.col("stop"), F.col("sr"), F.col("n"))
+    name = names.file_name(F.col("rec"), F.col("pos"), F.col("step"), F.col("hole_id"), F.col("depth_mm"), suffix)
+    return placed.withColumns({"first_sample": first, "last_sample": last, "duration_seg_s": F.col("stop") - F.col("start"), "file_name": name})

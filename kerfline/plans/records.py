@@ -204,3 +204,31 @@ SELECT count(*) AS members, round(avg(y), 6) AS y_pred FROM r WHERE rn <= 3
 def run_ensemble(spark, sf_dir):
     m = views.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 13).alias("model")).agg(F.avg(F.abs(F.col("l_discount") - F.col("l_tax"))).alias("mae"), F.avg("l_quantity").alias("y"))
     return m.orderBy("mae", "model").limit(3).agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("y"), 6).alias("y_pred"))  # one row a model
+
+
+@query("control_files", f"""
+WITH {views.RECORD_NAMES}, c AS (SELECT row_idx, record_name, '(?i)^.*?_seg(\\d+).*?step(\\d+).*?__([A-G][1-7])__depth(\\d+\\.\\d+)\\.flac$' AS p FROM rn)
+SELECT row_idx, CAST(regexp_extract(record_name, '(?i)^.*?_seg(\\d+).*?step(\\d+).*?__([A-G][1-7])__depth(\\d+\\.\\d+)\\.flac$', 1) AS INTEGER) AS seg, CAST(regexp_extract(record_name, '(?i)^.*?_seg(\\d+).*?step(\\d+).*?__([A-G][1-7])__depth(\\d+\\.\\d+)\\.flac$', 2) AS INTEGER) AS step,
+       upper(regexp_extract(record_name, '(?i)^.*?_seg(\\d+).*?step(\\d+).*?__([A-G][1-7])__depth(\\d+\\.\\d+)\\.flac$', 3)) AS hole, CAST(regexp_extract(record_name, '(?i)^.*?_seg(\\d+).*?step(\\d+).*?__([A-G][1-7])__depth(\\d+\\.\\d+)\\.flac$', 4) AS DOUBLE) AS depth
+FROM c WHERE regexp_matches(record_name, '(?i)^.*?_seg(\\d+).*?step(\\d+).*?__([A-G][1-7])__depth(\\d+\\.\\d+)\\.flac$')
+""")
+def control_files(spark, sf_dir):
+    return records.control_files(views.record_names(spark, sf_dir), "record_name").select("row_idx", "seg", "step", "hole", "depth")
+
+
+@query("segment_manifest", """
+WITH s AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), g AS (SELECT rec, i / 4.0::DOUBLE AS start, i / 4.0::DOUBLE + 1.3 AS stop FROM s WHERE i % 9 = 0),
+n AS (SELECT user_id AS rec, 50 AS sr, count(*) * 12 AS n FROM events GROUP BY user_id), d AS (SELECT p_partkey AS pos, CAST(p_size AS INTEGER) AS step, 'B' || (p_partkey % 8) AS hole_id, (p_size % 11) / 10.0::DOUBLE AS depth_mm FROM part WHERE p_partkey <= 5),
+p AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY start) AS pos FROM g)
+SELECT CAST(p.rec AS VARCHAR) || '__seg' || printf('%03d', p.pos) || '__step' || CASE WHEN d.step IS NULL THEN 'NA' ELSE printf('%03d', d.step) END || '__' || coalesce(hole_id, 'NA') || '__depth' || CASE WHEN depth_mm IS NULL THEN 'NA' ELSE printf('%.3f', depth_mm) END || '.wav' AS file_name,
+       CAST(greatest(least(round_even(start * sr, 0), n), 0) AS BIGINT) AS first_sample, CAST(greatest(least(round_even(stop * sr, 0), n), 0) AS BIGINT) AS last_sample, CASE WHEN d.step IS NULL THEN 'extra_segment' ELSE 'matched' END AS status
+FROM p LEFT JOIN d USING (pos) JOIN n ON p.rec = n.rec
+""")
+def segment_manifest(spark, sf_dir):
+    from kerfline.operators import segmentation
+
+    s = views.signals(spark, sf_dir).withColumn("rec", F.col("rec").cast("string"))
+    spans = s.where("i % 9 = 0").select("rec", (F.col("i") / F.lit(4.0)).alias("start"), (F.col("i") / F.lit(4.0) + 1.3).alias("stop"))
+    plan = views.table(spark, sf_dir, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("int").alias("step"), F.concat(F.lit("B"), (F.col("p_partkey") % 8).cast("string")).alias("hole_id"), ((F.col("p_size") % 11) / F.lit(10.0)).alias("depth_mm"))
+    recordings = s.groupBy("rec").agg(F.lit(50).alias("sr"), (F.count(F.lit(1)) * 12).alias("n"))
+    return segmentation.manifest(spans, plan, recordings).select("file_name", "first_sample", "last_sample", "status")

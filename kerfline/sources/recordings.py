@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.functions import names
+from kerfline.functions import dsp, names
 
 # Suffixes by kind of recording.
 AUDIO = ("flac", "wav", "ogg", "aiff", "aif")
@@ -97,8 +97,37 @@ def decode(path: str, content: bytes) -> tuple[np.ndarray, int]:
     raise ValueError(f"no reader for .{suffix}")
 
 
-def signals(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """One row a recording; one that cannot be read has an ``error`` instead of samples."""
+def probe(path: str, content: bytes) -> tuple[int, int, int]:
+    """Number of samples, rate and channels; of WAV from its header alone."""
+    if path.lower().endswith(".wav"):
+        with wave.open(io.BytesIO(content)) as w:
+            return w.getnframes(), w.getframerate(), w.getnchannels()
+    x, sr = decode(path, content)
+    return len(x), sr, 1
+
+
+def probed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``path, n, sr, channels, duration_s, error`` of each recording, without its samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    n, sr, channels = probe(path, content.as_py())
+                    rows.append((path, n, sr, channels, n / sr, None))
+                except (ValueError, EOFError, wave.Error) as e:
+                    rows.append((path, None, None, None, None, str(e) or type(e).__name__))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "n", "sr", "channels", "duration_s", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "content").mapInArrow(run, "path string, n long, sr int, channels int, duration_s double, error string")
+
+
+def signals(spark: SparkSession, folder: str, pattern: str = "*", target_sr: int | None = None) -> DataFrame:
+    """One row a recording, at ``target_sr`` if that is given; one that cannot be read has an ``error`` instead of samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,6 +135,8 @@ def signals(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     x, sr = decode(path, content.as_py())
+                    if target_sr and sr != target_sr:
+                        x, sr = dsp.at_rate(x[None].astype(float), sr, target_sr)[0][0].astype("f4"), target_sr
                     rows.append((path, x, sr, len(x) / sr, None))
                 except (ValueError, EOFError, wave.Error) as e:
                     rows.append((path, None, None, None, str(e) or type(e).__name__))
@@ -120,3 +151,17 @@ def segments(signals: DataFrame, spans: DataFrame) -> DataFrame:
     """Samples between ``start`` and ``stop`` seconds of each span ``path, seg, start, stop``."""
     at = lambda t: F.greatest(F.least(F.rint(F.col(t) * F.col("sr")), F.size("y")), F.lit(0)).cast("int")
     return signals.join(spans, "path").select("path", "seg", "sr", F.slice("y", at("start") + 1, F.greatest(at("stop") - at("start"), F.lit(0))).alias("y"))
+
+
+def exported(cut: DataFrame, path: str) -> None:
+    """Segments ``path, seg, sr, y`` as a Parquet table with a WAV file a row in ``content``, by recording."""
+    schema = "path string, seg int, sr int, n int, content binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = [np.asarray(v.values, "f4") if v.is_valid else np.zeros(0, "f4") for v in batch.column(3)]
+            files = [write_wav(x, sr) for x, sr in zip(y, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in y], pa.int32()), pa.array(files, pa.binary())], names=["path", "seg", "sr", "n", "content"])
+
+    out = cut.select("path", F.col("seg").cast("int"), F.col("sr").cast("int"), "y").mapInArrow(run, schema)
+    out.withColumn("stem", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)).write.mode("overwrite").partitionBy("stem").parquet(path)

@@ -96,3 +96,21 @@ def test_bootstrap_interval_covers_the_mean(spark):
     r = training.bootstrap_mean(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", draws=300).first()
     half = 1.96 * v.std() / 20
     assert r.low == pytest.approx(v.mean() - half, abs=0.06) and r.high == pytest.approx(v.mean() + half, abs=0.06)
+
+
+def test_predict_and_fuse(spark):
+    from kerfline.operators import jobs
+
+    rows = []
+    for i in range(120):
+        x = float(G.normal())
+        rows.append((f"run__seg{i:03d}__step{i:03d}__A{i % 7 + 1}__depth0.1", i, 3 * x + 1, x, float(G.normal())))
+    a = spark.createDataFrame(rows, "record_name string, row_idx long, depth_mm double, f double, noise double")
+    b = a.withColumn("f", F.col("f") * 2)
+    spec = models.SPECS["fast"][0]
+    members = tuple(jobs.Member(m, (models.fit(d, spec, {"regParam": 0.01}, ["f", "noise"], "depth_mm"), models.fit(d, spec, {"regParam": 0.1}, ["f", "noise"], "depth_mm")), mae) for m, d, mae in (("airborne", a, 0.01), ("structure", b, 0.03)))
+    got = jobs.predict_and_fuse({"airborne": a, "structure": b}, members).orderBy("record_name").collect()
+    assert len(got) == 120 and got[7].record_name == "step=007__hole=A1"
+    assert max(r.abs_residual_mm for r in got) < 0.6 and all(r.sigma > 0 and r.confidence_label in ("high", "medium", "low") for r in got)
+    with pytest.raises(ValueError, match="noise"):
+        jobs.predict_and_fuse({"airborne": a.drop("noise"), "structure": b}, members)

@@ -159,3 +159,20 @@ def test_long_keys_are_unique_beyond_a_thousand_repeats(spark):
     rows = spark.range(1200).select(F.col("id"), F.lit("run__seg001__step003__A1__depth1").alias("name"))
     got = [r.key_long for r in names.long_keys(rows, "name", "id").collect()]
     assert len(set(got)) == 1200 and "run=001__step=003__hole=A1" in got and "run=001__step=003__hole=A1__occ1200" in got
+
+
+def test_recordings_are_probed_resampled_and_exported(spark, tmp_path):
+    t = np.arange(8000) / 8000
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.wav").write_bytes(recordings.write_wav(0.5 * np.sin(2 * np.pi * 100 * t), 8000))
+    (tmp_path / "in/bad.wav").write_bytes(b"RIFF")
+    got = {r.path.rpartition("/")[2]: r for r in recordings.probed(spark, str(tmp_path / "in")).collect()}
+    assert (got["one.wav"].n, got["one.wav"].sr, got["one.wav"].channels, got["one.wav"].duration_s) == (8000, 8000, 1, 1.0) and got["bad.wav"].error
+    low = recordings.signals(spark, str(tmp_path / "in"), "one.wav", target_sr=2000)
+    r = low.first()
+    assert r.sr == 2000 and len(r.y) == 2000 and max(r.y[100:-100]) == pytest.approx(0.5, abs=0.01)
+    spans = low.select("path", F.lit(1).alias("seg"), F.lit(0.25).alias("start"), F.lit(0.75).alias("stop"))
+    recordings.exported(recordings.segments(low, spans), str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out")).first()
+    x, sr = recordings.read_wav(bytes(out.content))
+    assert (out.n, len(x), sr, out.stem) == (1000, 1000, 2000, "one")
