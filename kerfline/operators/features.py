@@ -13,6 +13,12 @@ from kerfline.functions import dsp
 
 BANDS = ((0.5, 4.0), (4.0, 8.0), (8.0, 16.0), (16.0, 24.0), (24.0, 32.0))
 
+#: What is taken of each window, with statistics over the windows and differences of the cepstrum from window to window.
+WINDOWED: dict[str, Callable] = {
+    "hjorth": lambda x, sr: dsp.hjorth(x), "shape": dsp.spectral_shape, "band_ratios": lambda x, sr: dsp.band_ratios(x, sr, BANDS), "packet": lambda x, sr: dsp.haar_packet(x, 3),
+    "cepstrum": lambda x, sr: {f"cc_{i}": v for i, v in enumerate(dsp.cepstrum(x, sr).T)}, "complexity": lambda x, sr: {"permen": dsp.permutation_entropy(x, 3)},
+}
+
 FAMILIES: dict[str, Callable] = {
     "time": dsp.time_features,
     "frequency": lambda x, sr: dsp.frequency_features(x, sr),
@@ -24,6 +30,8 @@ FAMILIES: dict[str, Callable] = {
     "band_ratios": lambda x, sr: dsp.band_ratios(x, sr, BANDS),
     "dwt": lambda x, sr: dsp.wavelet_features(x),
     "machining": lambda x, sr: dsp.machining(x, sr, env_sr=sr, hf_sr=sr),
+    "scalogram": lambda x, sr: dsp.scalogram_features(x, sr, 12, 1, low=sr / 64),
+    "windowed": lambda x, sr: {f"w_{k}": v for k, v in dsp.windowed(x, sr, 32, 16, WINDOWED).items()},
     "packet": lambda x, sr: dsp.haar_packet(x, 3),
     "cepstrum": lambda x, sr: {f"cc_{i}": v for i, v in enumerate(dsp.cepstrum(x, sr).T)},
     "complexity": lambda x, sr: {"sampen": dsp.sample_entropy(x), "permen": dsp.permutation_entropy(x), "lz": dsp.lempel_ziv(x)},
