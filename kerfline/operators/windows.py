@@ -6,6 +6,9 @@ A record is the unit of parallelism: windows are partitioned by it. Where a reco
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -59,14 +62,24 @@ def moving_rms(width: int, x: str = "x", by: tuple[str, ...] = ("rec",)) -> Colu
 
 
 def smoothed(signal: DataFrame, rise: float, fall: float) -> DataFrame:
-    """Asymmetric exponential smoothing, a recursion: one array a record goes through a fold. ``rec, i, x, y``."""
-    held = signal.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    step = lambda acc, v: F.struct(
-        (acc["y"] + F.when(v["x"] > acc["y"], rise).otherwise(fall) * (v["x"] - acc["y"])).alias("y"),
-        F.array_append(acc["out"], F.struct(v["i"].alias("i"), v["x"].alias("x"), (acc["y"] + F.when(v["x"] > acc["y"], rise).otherwise(fall) * (v["x"] - acc["y"])).alias("y"))).alias("out"),
-    )
-    start = F.struct(F.col("s")[0]["x"].alias("y"), F.array().cast("array<struct<i:bigint,x:double,y:double>>").alias("out"))
-    return held.select("rec", F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("p")).select("rec", "p.*")
+    """Asymmetric exponential smoothing, a recursion: ``rec, i, x, y``.
+
+    Records are sorted and pass through in batches; only the last value goes from one to the next, so a record may be longer than a task's memory."""
+    rec = signal.schema["rec"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, y = None, 0.0
+        for batch in batches:
+            out = []
+            for r, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if r != at:
+                    at, y = r, v
+                y += (rise if v > y else fall) * (v - y)
+                out.append(y)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=["rec", "i", "x", "y"])
+
+    rows = signal.select("rec", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).repartition("rec").sortWithinPartitions("rec", "i")
+    return rows.mapInArrow(run, f"rec {rec}, i long, x double, y double")
 
 
 def frames(signal: DataFrame, length: int, hop: int) -> DataFrame:
