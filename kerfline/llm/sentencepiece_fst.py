@@ -15,7 +15,8 @@ are looked up. The table of words is bounded, and emptied when full.
 
 Defined results: null and empty texts have no ids and decode to the empty text; U+2581 in a text is read as a
 space, as the model itself does; control pieces written out in a text are ordinary text; models with a
-character map or another white-space rule are refused; repeated rows are encoded each for itself.
+character map or another white-space rule are refused; repeated rows, and rows without an id, are encoded each for itself; texts may be of any length; an empty table
+gives an empty result; other columns pass through if asked for in ``keep``.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ class Transducer:
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in of(BYTE)}
         self.longest = max(map(len, self.ids), default=1)
         together = set("".join(p for p in self.ids if len(p) > 1))
-        alone = "".join(c for c in map(chr, range(128)) if c not in together and c != " ")
+        # Without byte fallback a run of unknown characters is one piece, so these are not cut apart.
+        alone = "".join(c for c in map(chr, range(128)) if c not in together and c != " " and (self.byte_fallback or c in self.ids))
         one = re.escape(alone)
         # What no piece holds together is read apart: words, runs of spaces, and characters of their own.
         self.cut = re.compile(f" *[^ {one}]+| +|[{one}]" if alone else " *[^ ]+| +").findall

@@ -165,3 +165,49 @@ def test_packed_rows_do_not_depend_on_partitions(spark):
     found = [sorted(map(key, packing.pack(docs.repartition(n), room=128, stretch=100).collect())) for n in (1, 5, 16)]
     assert found[0] == found[1] == found[2]
     assert sum(r[1] for r in found[0]) / (128 * len(found[0])) > 0.97
+
+
+def _message(fields):
+    """A protocol-buffer message of varints, strings and floats."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while True:
+            out, n = out + bytes([n & 127 | (128 if n > 127 else 0)]), n >> 7
+            if not n:
+                return out
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def test_unigram_path_is_the_shortest_of_all():
+    pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.1, 1), ("▁a", -2.2, 1), ("bab", -4.5, 1), ("ba", -3.9, 1), ("abb", -4.0, 1)]
+    model = b"".join(_message([(1, _message([(1, p.encode()), (2, s), (3, k)]))]) for p, s, k in pieces)
+    model += _message([(2, _message([(3, 1)])), (3, _message([(3, 1), (4, 0), (5, 1)]))])
+    fst = sentencepiece_fst.Transducer(model)
+    score = {p.replace("▁", " "): s for p, s, k in pieces if k == 1}
+    ids = {p.replace("▁", " "): i for i, (p, _, _) in enumerate(pieces)}
+
+    def ways(text):
+        if not text:
+            yield 0.0, []
+        for n in range(1, len(text) + 1):
+            if text[:n] in score:
+                for s, rest in ways(text[n:]):
+                    yield s + score[text[:n]], [ids[text[:n]], *rest]
+
+    for _ in range(200):
+        text = "".join(RNG.choices("ab", k=RNG.randint(1, 9)))
+        best = max(s for s, _ in ways(" " + text))
+        got = fst.encode(text)
+        assert sum(pieces[i][1] for i in got) == pytest.approx(best) and fst.decode(got) == text
+    assert fst.encode("axxb") == [ids[" a"], 0, ids["b"]]
