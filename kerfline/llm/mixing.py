@@ -11,7 +11,8 @@ of three counts: of earlier size classes, of earlier slices of the class and wit
 MD5 of the id; no task holds a whole source.
 
 Defined results: null text has size 0; a null source is a source; a source without words has target 0 and no
-copies; rows that repeat id and text are ranked one after the other; an empty table gives an empty result.
+copies; rows that repeat id and text are ranked one after the other, rows without an id too; texts may be of any length; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kerfline.llm.common import BLANK, text_or_empty, written
+from kerfline.llm.common import BLANK, Scratch, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -71,18 +72,20 @@ def mix(docs: DataFrame, seed: str = "mix", slices: int = SLICES) -> DataFrame:
         "class": size_class(F.col("size")),
         "slice": F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).cast("binary")), 1, 4), 16, 10).cast("int") % slices,
     })
-    base = written(spare, "sizes")
-    slots = written(base.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "slots")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    base = scratch.written(spare, "sizes")
+    slots = scratch.written(base.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "slots")
     by_class = slots.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     before = W.unboundedPreceding, -1
     class_before = by_class.select("source", "class", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("class").rowsBetween(*before)), F.lit(0)).alias("class_before"))
     slot_before = slots.select("source", "class", "slice", F.coalesce(F.sum("n").over(W.partitionBy("source", "class").orderBy("slice").rowsBetween(*before)), F.lit(0)).alias("slot_before"))
     goal = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")))
     # One row a slot, with all that its documents need to know.
-    known = written(
+    known = scratch.written(
         _same(_same(slot_before, class_before, "source", "class"), goal, "source").select(
             "source", "class", "slice", (F.col("slot_before") + F.col("class_before")).alias("before"), "source_size", "target"),
         "slot-ranks")
+    scratch.keep(base, known)
     ranked = base.withColumn("rank", F.row_number().over(W.partitionBy("source", "class", "slice").orderBy("size", "doc_id")))
     both = _same(ranked, known.hint("merge"), "source", "class", "slice")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -15,7 +15,7 @@ An element's random numbers of a draw come from its hash: 13 bits of it pick (r,
 
 Texts with the same words are one node from the start. Defined results: null and empty texts and texts without a word
 are one class; repeated rows are in the class of their text; a null id takes part, and names a class only where
-there is no other id; an empty table gives an empty result; other columns are not read.
+there is no other id; a text may be of any length, its shingles are held in one task; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
