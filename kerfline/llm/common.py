@@ -57,6 +57,10 @@ class Scratch:
         self.tables.append((back, path))
         return back
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove these tables."""
+        self.keep(*(t for t, _ in self.tables if all(t is not x for x in tables)))
+
     def keep(self, *tables: DataFrame) -> None:
         """Remove all tables but these."""
         stay = [(t, p) for t, p in self.tables if any(t is x for x in tables)]
