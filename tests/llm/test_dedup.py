@@ -1,9 +1,11 @@
 """Exact, line and near deduplication."""
 
 import hashlib
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,44 @@ def test_near_odd_rows(odd_docs, no_docs):
     assert by[3].class_id == by[4].class_id == by[6].class_id == 3
     assert by[None].class_id is None and by[None].kept
     assert near_dup.classes(no_docs.select("doc_id", "text")).count() == 0
+
+
+def distance(a, b):
+    """Edit distance by bit-parallel columns."""
+    at = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    mask, top, pv, mv, d = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv) & mask, pv & xh
+        d += bool(ph & top) - bool(mh & top)
+        ph, mh = (ph << 1 | 1) & mask, (mh << 1) & mask
+        pv, mv = mh | ~(xv | ph) & mask, ph & xv
+    return d
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_recall_on_the_given_documents_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scratch = Scratch(spark, "test")
+    nodes = scratch.written(line_dedup.nodes_of(line_dedup.lines_of(docs)), "nodes")
+    roots = scratch.written(line_dedup.groups_of(nodes, line_dedup.SIMILAR, scratch), "roots")
+    of = {r.norm: r.root for r in nodes.join(roots, "node").collect()}
+    lines = sorted(of, key=len)
+    size = np.array([len(x) for x in lines])
+    pairs = {}
+    rows = [[pairs.setdefault(x[i : i + 2], len(pairs)) for i in range(len(x) - 1)] for x in lines]
+    bags = np.zeros((len(lines), len(pairs)), "u2")
+    for i, r in enumerate(rows):
+        np.add.at(bags[i], r, 1)
+    near = []
+    for i, x in enumerate(lines):
+        others = np.arange(i + 1, np.searchsorted(size, size[i] / line_dedup.SIMILAR + 1e-9, "right"))
+        longer = size[others]
+        # an edit takes at most two pairs of characters away
+        can = others[np.minimum(bags[i], bags[others]).sum(1, dtype="i8") >= longer - 1 - 2 * np.floor(0.2 * longer + 1e-9)]
+        near += [(x, lines[j]) for j in can if distance(x, lines[j]) <= 0.2 * size[j] + 1e-9]
+    assert len(near) > 20
+    assert sum(of[a] == of[b] for a, b in near) >= 0.95 * len(near)
