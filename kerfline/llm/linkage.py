@@ -115,7 +115,8 @@ def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable |
     # A pair that shares several keys is met under the least of them only.
     known = there.groupBy("id").agg(F.collect_set("key").alias("keys"))
     known = scratch.written(known.withColumn("sketch", F.lit(None).cast("array<long>")) if sketches is None else known.join(sketches, "id"), "known")
-    there = scratch.written(there.join(known, "id"), "there")
+    bare, there = there, scratch.written(there.join(known, "id"), "there")
+    scratch.drop(bare, known)
     out = there.where("NOT main").select("key", "id", "size", "own", "root", "keys", "sketch")
     other = there.where("NOT tested").select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "size", "own", "root", "main", "keys", "sketch")))
     least = F.array_min(F.array_intersect("keys", "b_keys")) == F.col("key")
@@ -124,7 +125,9 @@ def link(members: DataFrame, fetch: Callable, verify: Callable, own: Callable |
         .where((F.col("root") != F.col("b_root")) & (F.col("b_main") | (F.col("id") < F.col("b_id"))) & _possible("size", "own", "b_size", "b_own", threshold, own is not None) & least & (alike(F.col("sketch"), F.col("b_sketch")) if alike else F.lit(True)))
         .select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
     )
-    return joined(roots, scratch.written(verify(scratch.written(more, "pairs"), what).select("a", "b"), "links"), scratch)
+    more = scratch.written(more, "pairs")
+    scratch.drop(there)
+    return joined(roots, scratch.written(verify(more, what).select("a", "b"), "links"), scratch)
 
 
 def _possible(size: str, own: str, other: str, other_own: str, threshold: float, by_share: bool):
