@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, pii, secret_scan, sentencepiece_fst, topk
-from kerfline.llm.common import table
+from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, periodic, pii, secret_scan, sentencepiece_fst, topk
+from kerfline.llm.common import BLANK, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with the repetitions of the contract: where ``h = crc32(doc_id)`` ends in 0, words from ``a`` on repeat the ``p`` words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, F.filter(F.split("text", f"[{BLANK}]+", -1), lambda w: w != "")))
+    made = some.withColumn("n", F.size("words")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    text = F.expr("array_join(transform(sequence(0, n - 1), i -> words[CAST(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END AS INT)]), ' ')")
+    return made.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", periodic.greatest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -132,6 +150,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dup": op10_near_dup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
