@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, periodic, pii, secret_scan, sentencepiece_fst, topk
+from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, periodic, pii, secret_scan, sentencepiece_fst, spelling, topk
 from kerfline.llm.common import BLANK, table
 
 
@@ -120,6 +120,41 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
+def slipped(runs: DataFrame) -> DataFrame:
+    """``runs(doc_id, run)`` with the slips of the contract: where 199 divides ``h = crc32(doc_id:run)`` the run's letter ``h % length`` is missing. A null id counts as empty."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    return runs.withColumn("h", h).select(F.expr("CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS INT)), substr(run, CAST(h % length(run) AS INT) + 2)) ELSE run END").alias("run"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs_of(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    return spelling.grouped(spelling.counted(slipped(runs)))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) t(i)),
+crc AS (SELECT list(c ORDER BY i) AS tbl FROM bits),
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+b AS (
+  SELECT run, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) AS BIGINT) - 64] END)) AS bytes FROM r),
+h AS (
+  SELECT run, xor(list_reduce(list_concat([4294967295], bytes), lambda x, y: xor(x >> 8, tbl[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM b, crc),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, count(*) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+k AS (SELECT word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word))) AS key FROM w),
+p AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
+  WHERE (abs(length(a.word) - length(b.word)) = 1 AND length(a.key) = least(length(a.word), length(b.word)))
+     OR (length(a.word) = length(b.word) AND len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1)),
+f AS (SELECT word, count(*) AS n_near, max(m) AS form_n, arg_min(other, (-m, other)) AS form FROM p GROUP BY word),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN f USING (word)),
+way AS (SELECT word, word AS root FROM g UNION ALL SELECT way.word, g.form FROM way JOIN g ON way.root = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, way.root, g.n, g.n_near, g.form_n FROM g JOIN way USING (word) JOIN g AS last ON last.word = way.root AND last.form IS NULL
+"""
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with the repetitions of the contract: where ``h = crc32(doc_id)`` ends in 0, words from ``a`` on repeat the ``p`` words there."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -150,9 +185,10 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dup": op10_near_dup,
+        "op12_spelling": op12_spelling,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op12_spelling": OP12_SQL}
