@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, packing, periodic, pii, secret_scan, sentencepiece_fst, spelling, topk
+from kerfline.llm import exact_dedup, langid, line_dedup, mixing, near_dup, ngram_join, packing, periodic, pii, secret_scan, sentencepiece_fst, spelling, topk
 from kerfline.llm.common import BLANK, table
 
 
@@ -120,6 +120,25 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT rid, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS gram FROM d),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM g x JOIN g y ON x.gram = y.gram AND x.rid <> y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reach AS (SELECT rid, rid AS other FROM d UNION SELECT reach.rid, l.b FROM reach JOIN l ON reach.other = l.a),
+c AS (SELECT reach.rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.other GROUP BY reach.rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def slipped(runs: DataFrame) -> DataFrame:
     """``runs(doc_id, run)`` with the slips of the contract: where 199 divides ``h = crc32(doc_id:run)`` the run's letter ``h % length`` is missing. A null id counts as empty."""
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
@@ -185,10 +204,11 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dup": op10_near_dup,
+        "op11_ngram_join": op11_ngram_join,
         "op12_spelling": op12_spelling,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op12_spelling": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op11_ngram_join": OP11_SQL, "op12_spelling": OP12_SQL}
