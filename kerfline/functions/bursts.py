@@ -12,8 +12,8 @@ from kerfline.functions import dsp
 Spans = np.ndarray  # n x 2
 
 
-def band_envelope(x: np.ndarray, sr: float, low: float, high: float, win_ms: float = 21.0, hop_ms: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """Times of frame centres and the power within ``low..high`` in dB; a recording shorter than a frame has none."""
+def band_envelope(x: np.ndarray, sr: float, low: float, high: float, win_ms: float = 21.0, hop_ms: float = 5.0, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Times of frame centres and the power within ``low..high`` in dB; a recording shorter than a frame has none. ``first`` is the number of the first sample."""
     length = max(256, int(sr * win_ms / 1000))
     hop = max(1, int(sr * hop_ms / 1000))
     if len(x) < length:
@@ -23,7 +23,7 @@ def band_envelope(x: np.ndarray, sr: float, low: float, high: float, win_ms: flo
     band = (f >= low) & (f <= high)
     fr = dsp.frames(np.asarray(x, float)[None], length, hop)[0]
     power = np.concatenate([(np.abs(np.fft.rfft(fr[s : s + 512] * w, axis=1)[:, band]) ** 2).sum(1) for s in range(0, len(fr), 512)]) / w.sum() ** 2
-    return (np.arange(len(fr)) * hop + length / 2) / sr, 10 * np.log10(power + 1e-18)
+    return (first + np.arange(len(fr)) * hop + length / 2) / sr, 10 * np.log10(power + 1e-18)
 
 
 def running_median(x: np.ndarray, width: int) -> np.ndarray:

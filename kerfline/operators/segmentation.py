@@ -80,9 +80,9 @@ def envelopes(chunks: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
             for i in range(batch.num_rows):
                 y, sr = np.asarray(batch.column(2)[i].values, float), batch.column(3)[i].as_py()
                 for k, (low, high) in enumerate(bands, 1):
-                    t, db = bursts.band_envelope(y, sr, low, high)
+                    t, db = bursts.band_envelope(y, sr, low, high, first=batch.column(1)[i].as_py())
                     rec = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(t), int)))
-                    yield pa.RecordBatch.from_arrays([rec, pa.array(np.full(len(t), k, "i4")), pa.array(t + batch.column(1)[i].as_py() / sr), pa.array(db)], names=["rec", "band", "t", "db"])
+                    yield pa.RecordBatch.from_arrays([rec, pa.array(np.full(len(t), k, "i4")), pa.array(t), pa.array(db)], names=["rec", "band", "t", "db"])
 
     return chunks.select("rec", F.col("start").cast("long"), "y", F.col("sr").cast("double")).mapInArrow(run, schema)
 
