@@ -16,16 +16,25 @@ def latest(events: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("r")).select(key, *(F.col(f"r.{v}").alias(v) for v in values))
 
 
-def upsert_files(known: DataFrame, seen: DataFrame) -> DataFrame:
+def merged_files(known: DataFrame, seen: DataFrame) -> DataFrame:
     """``path, modality, size, mtime_ns, status, seen_at``: a path seen again takes the new data; its status stays while
-    it is busy and else becomes ``ready``. The newest path of a modality is the latest one."""
+    it is busy and else becomes ``ready``."""
     new = latest(seen.withColumn("_o", F.struct("seen_at", "mtime_ns")), "path", "_o", "modality", "size", "mtime_ns", "seen_at")
     old = known.select(F.col("path"), *(F.col(c).alias(f"_{c}") for c in ("modality", "size", "mtime_ns", "status", "seen_at")))
     both = old.join(new, "path", "full_outer")
     status = F.when(F.col("seen_at").isNull(), F.col("_status")).when(F.col("_status").isin(*BUSY), F.col("_status")).otherwise("ready")
-    merged = both.select("path", *(F.coalesce(c, f"_{c}").alias(c) for c in ("modality", "size", "mtime_ns", "seen_at")), status.alias("status"))
-    top = merged.groupBy("modality").agg(F.max(F.struct("seen_at", "path")).alias("top"))
-    return merged.join(top, "modality").withColumn("is_latest", F.struct("seen_at", "path") == F.col("top")).drop("top")
+    return both.select("path", *(F.coalesce(c, f"_{c}").alias(c) for c in ("modality", "size", "mtime_ns")), status.alias("status"), F.coalesce("seen_at", "_seen_at").alias("seen_at"))
+
+
+def with_latest(files: DataFrame) -> DataFrame:
+    """Marks the newest path of each modality."""
+    top = files.groupBy("modality").agg(F.max(F.struct("seen_at", "path")).alias("top"))
+    return files.join(top, "modality").withColumn("is_latest", F.struct("seen_at", "path") == F.col("top")).drop("top")
+
+
+def upsert_files(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """``merged_files`` with ``is_latest``."""
+    return with_latest(merged_files(known, seen))
 
 
 def illegal_moves(log: DataFrame) -> DataFrame:

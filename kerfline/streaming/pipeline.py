@@ -111,20 +111,50 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[0]))
 
 
-def ledger_sink(path: str, first: int = 0, keep: int = 3):
-    """``foreachBatch`` function that applies sightings of files to the ledger table in versioned folders, of which the last ``keep`` stay.
+def _buckets(spark: SparkSession, path: str, version: int | None = None) -> dict[int, list[int]]:
+    """Complete versions of each bucket of a ledger, up to a version."""
+    out: dict[int, list[int]] = {}
+    for v in versions(spark, path):
+        if version is None or v <= version:
+            at, fs = _folder(spark, f"{path}/v={v}")
+            for f in fs.listStatus(at):
+                if f.getPath().getName().startswith("bucket="):
+                    out.setdefault(int(f.getPath().getName()[7:]), []).append(v)
+    return out
 
-    Batch b writes version ``first + b`` from the one before it, also when it runs again, so a restart changes nothing. A new checkpoint goes on from
-    an old ledger with ``first`` one above its last version (see ``versions``)."""
+
+def _read(spark: SparkSession, path: str, newest: dict[int, int]) -> DataFrame:
+    schema = ", ".join(LEDGER.split(", ")[:-1])
+    return spark.read.schema(schema).parquet(*(f"{path}/v={v}/bucket={b}" for b, v in sorted(newest.items()))) if newest else spark.createDataFrame([], schema)
+
+
+def current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A ledger's rows as of its last version, or of an earlier one that is still kept."""
+    return ledger.with_latest(_read(spark, path, {b: vs[-1] for b, vs in _buckets(spark, path, version).items()}))
+
+
+def bucketed_sink(path: str, buckets: int = 64, first: int = 0, keep: int = 3):
+    """``foreachBatch`` function that applies sightings of files to a ledger table.
+
+    Paths are dealt to buckets by hash. Batch b writes version ``first + b``, which holds only the buckets it touches, each made from its version before; a bucket's rows are
+    those of its newest version. One write, one commit a batch: a version counts when it is complete, and a batch that runs again writes the same again. What the last ``keep`` versions do not
+    need goes. A new checkpoint goes on from an old ledger with ``first`` one above its last version (see ``versions``)."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark, now = batch.sparkSession, first + batch_id
-        there = versions(spark, path)
-        before = spark.read.schema(LEDGER).parquet(f"{path}/v={now - 1}") if now - 1 in there else spark.createDataFrame([], LEDGER)
-        ledger.upsert_files(before.drop("is_latest"), batch).write.mode("overwrite").parquet(f"{path}/v={now}")
-        for v in there:
-            if v <= now - keep:
-                at, fs = _folder(spark, f"{path}/v={v}")
+        bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+        seen = batch.persist()
+        try:
+            touched = [r[0] for r in seen.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+            before = {b: vs[-1] for b, vs in _buckets(spark, path, now - 1).items() if b in touched}
+            rows = ledger.merged_files(_read(spark, path, before), seen)
+            rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={now}")
+        finally:
+            seen.unpersist()
+        for b, vs in _buckets(spark, path).items():
+            old = [v for v in vs if v <= now - keep + 1]
+            for v in old[:-1]:
+                at, fs = _folder(spark, f"{path}/v={v}/bucket={b}")
                 fs.delete(at, True)
 
     return apply
