@@ -10,7 +10,7 @@ bytes, and a convolution becomes a sum of table rows.
 
 Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; texts may be of any length, their windows are predicted a bounded number at a time; a language that no training row
 has is never predicted; without any training row all texts are ``und``; ties go to the first language by name;
-repeated rows are predicted each for itself; other columns, also ones named like the results, are not read.
+repeated rows are predicted each for itself, and learned from once; ids may be null or come again; other columns, also ones named like the results, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ class Config:
     filters: int = 16  # of each width
     embed: int = 8
     rows_per_lang: int = 400  # documents sampled a language, in expectation
+    most_langs: int = 200
     windows_per_row: int = 2
     epochs: int = 6
     batch: int = 64
@@ -154,17 +155,19 @@ def windows(raw: bytes, size: int) -> np.ndarray:
 def sample(docs: DataFrame, cfg: Config) -> DataFrame:
     """Windows of about ``rows_per_lang`` labelled rows a language: ``lang, text``.
 
-    Rows are chosen by a hash of the id against the language's share, so no task gathers a language."""
-    counts = {r[0]: r[1] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy("lang").collect()}
+    Rows are chosen by a hash of id and text against the language's share, so no task gathers a language, and rows without an id, or with one
+    that comes again, are drawn like others; of rows that repeat both one counts. Languages beyond the ``most_langs`` with the most rows are not learned."""
+    docs = docs.where(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("lang", F.col("doc_id").cast("string"), "text", F.lit(cfg.seed)).alias("draw"))
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").agg(F.count_distinct("draw").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.most_langs).collect()}
     if not counts:
         return docs.select("lang", "text").limit(0)
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, cfg.rows_per_lang / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod("draw", F.lit(1 << 30)) / F.lit(float(1 << 30))
     spread = [F.substring("text", F.floor((F.length("text") - cfg.window) * (i + 1) / (cfg.windows_per_row + 1)).cast("int") + 1, F.lit(cfg.window)) for i in range(cfg.windows_per_row)]
     part = F.when(F.length("text") <= cfg.window, F.array("text")).otherwise(F.array(*spread))
-    return docs.where(draw < share).select("lang", F.explode(part).alias("text"))
+    return docs.where(draw < share).dropDuplicates(["draw"]).select("lang", F.explode(part).alias("text"))
 
 
 def train(docs: DataFrame, cfg: Config = Config()) -> ByteConv | None:

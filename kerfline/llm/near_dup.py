@@ -14,7 +14,7 @@ key are linked by ``linkage.link``, each pair verified by its exact weighted Jac
 An element's random numbers of a draw come from its hash: 13 bits of it pick (r, beta), 13 others c, each out of 8,192 drawn from their distributions.
 
 Texts with the same words are one node from the start. Defined results: null and empty texts and texts without a word
-are one class; repeated rows are in the class of their text; a null id takes part, and names a class only where
+are one class; repeated rows are in the class of their text; one row a class is kept, also where rows repeat id and text or have no id; a null id takes part, and names a class only where
 there is no other id; a text may be of any length, its shingles are held in one task; an empty table gives an empty result; other columns are not read.
 """
 
@@ -219,8 +219,10 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(total), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "weight", "keys"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = scratch.written(texts.select("doc_id", node_of(F.col("norm")).alias("node"), "norm").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>"), "signed")
-    nodes = scratch.written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
+    signed = texts.select("doc_id", node_of(F.col("norm")).alias("node"), "norm").mapInArrow(sign, f"doc_id {id_type}, node binary, weight double, keys array<long>")
+    signed = scratch.written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # fixed by being written
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = scratch.written(signed.groupBy("node").agg(least.getField("doc_id").alias("doc_id"), least.getField("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
     members = nodes.select(F.explode("keys").alias("key"), "id", F.col("weight").alias("size"))
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -233,11 +235,12 @@ def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         members, fetch, lambda pairs, known: similar(pairs, known, weights, cfg), lambda ids, known: alone(ids, known, weights, cfg), cfg.threshold, scratch,
         lambda rows, known: rare_pairs(rows, known, weights, cfg, scratch),
     )
-    of = scratch.written(nodes.join(roots, "id", "left").select("node", "doc_id", "n", F.coalesce("root", "id").alias("root")), "rooted")
-    named = scratch.written(of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "named")
-    by_node = scratch.written(of.select("node", "root").join(named, "root").select("node", "class_id", "class_size"), "classes")
+    of = scratch.written(nodes.join(roots, "id", "left").select("node", "doc_id", "n", "row", F.coalesce("root", "id").alias("root")), "rooted")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))  # the row that stays: of the least id, of none only where there is no other
+    named = scratch.written(of.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size")), "named")
+    by_node = scratch.written(of.select("node", "root").join(named, "root").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.row").alias("stays")), "classes")
     scratch.keep(signed, by_node)
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
+    return signed.select("doc_id", "node", "row").join(by_node, "node").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"), "node")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, weights, cfg: Config) -> DataFrame:
