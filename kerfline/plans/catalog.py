@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from kerfline.plans import enrichment, features, fusion, models, recordings, records, signals, streams, tables  # noqa: F401
+    from kerfline.plans import chunked, enrichment, features, fusion, models, recordings, records, signals, streams, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
