@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from math import exp, lgamma, log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,9 +103,13 @@ def t_cdf(t: float, df: float) -> float:
     return 1 - part / 2 if t > 0 else part / 2
 
 
+EXACT = 50  # pairs up to which signed ranks have their exact p
+AT_ONCE = 500  # resamples drawn together
+
+
 def paired_tests(rows: DataFrame, a: str, b: str, delta: float, by: str, alpha: float = 0.05) -> DataFrame:
     """Per group: mean difference, t with its two-sided p, effect size, the two one-sided tests against ``delta`` and whether they agree on equivalence, and Wilcoxon's signed-rank
-    statistic with the p of its normal form (ties averaged, zeros left out). Sums come from Spark; one row a group is finished here."""
+    statistic (ties averaged, zeros left out), its p exact for at most ``EXACT`` pairs without ties or zeros and else that of its normal form. Sums come from Spark; one row a group is finished here."""
     from kerfline.operators.windows import average_ranks
 
     d = rows.select(by, (F.col(a) - F.col(b)).alias("d")).dropna()
@@ -129,23 +134,65 @@ def paired_tests(rows: DataFrame, a: str, b: str, delta: float, by: str, alpha:
             low = [1 - t_cdf((x + delta) / s, k) if s and s == s else None for x, s, k in zip(r["mean"], r["se"], df, strict=True)]
             high = [t_cdf((x - delta) / s, k) if s and s == s else None for x, s, k in zip(r["mean"], r["se"], df, strict=True)]
             same = [None if x is None else x < alpha and y < alpha for x, y in zip(low, high, strict=True)]
-            w_p = [erfc(abs(x) / sqrt(2)) if x == x and x is not None else None for x in r["w_z"]]
+            exact = (r["m"] <= EXACT) & (r["ties"] == 0) & (r["m"] == r["n"])
+            w_p = [signed_rank_p(w, int(m)) if e else erfc(abs(x) / sqrt(2)) if x == x and x is not None else None for x, w, m, e in zip(r["w_z"], r["w"], r["m"], exact, strict=True)]
             yield r[[by, "n", "mean", "t", "dz", "w"]].assign(p=p, tost_p1=low, tost_p2=high, equivalent=same, w_p=w_p)
 
     kind = rows.schema[by].dataType.simpleString()
-    return sums.select(by, "n", "mean", "t", "dz", "w", "w_z", "se").mapInPandas(finished, f"{by} {kind}, n long, mean double, t double, dz double, w double, p double, tost_p1 double, tost_p2 double, equivalent boolean, w_p double")
-
-
-def bootstrap_mean(rows: DataFrame, value: str, draws: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """``low, high`` of the mean over resamples: each row counts in each resample as often as a Poisson draw of mean 1 says, so no resample is ever gathered."""
-    # Inverse of the Poisson distribution on a number in [0, 1) by the row's id and the resample.
-    steps, total, at = [], 0.0, exp(-1.0)
-    for k in range(1, 12):
-        total += at
-        steps.append(total)
-        at /= k
-    each = rows.select(F.xxhash64(*rows.columns).alias("_h"), F.monotonically_increasing_id().alias("_i"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    u = F.pmod(F.xxhash64("_h", "_i", "_k", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-    means = each.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy("_k").agg((F.sum(times * F.col("_v")) / F.sum(times)).alias("m"))
-    return means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
+    return sums.select(by, "n", "mean", "t", "dz", "w", "w_z", "se", "m", "ties").mapInPandas(finished, f"{by} {kind}, n long, mean double, t double, dz double, w double, p double, tost_p1 double, tost_p2 double, equivalent boolean, w_p double")
+
+
+def bootstrap_mean(rows: DataFrame, value: str, draws: int = 20_000, alpha: float = 0.05, seed: int = 0, block: int = 2048) -> DataFrame:
+    """``low, high`` of the mean over resamples of as many rows, drawn with replacement.
+
+    Values are counted, and the counts dealt to blocks. A resample deals its rows to the blocks by one multinomial draw, which every task makes anew from the same seed, and a block's rows to its
+    values by another, so no resample and no list of rows is ever gathered: a task holds one block and ``AT_ONCE`` resamples. The interval depends on the values and the seed only."""
+    counts = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    distinct = counts.count()
+    if not distinct:
+        return rows.sparkSession.createDataFrame([(None, None)], "low double, high double")
+    blocks = -(-distinct // block)
+    dealt = counts.withColumn("b", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, "i8")
+    for b, n in dealt.groupBy("b").agg(F.sum("n")).collect():  # one row a block
+        sizes[b] = n
+    share = sizes / sizes.sum()
+
+    def drawn(key: tuple, table: pa.Table) -> pa.Table:
+        b, v, n = key[0].as_py(), table.column("v").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(v)
+        v, own = v[order], n[order] / n.sum()
+        out = []
+        for s in range(0, draws, AT_ONCE):
+            k = min(AT_ONCE, draws - s)
+            mine = np.random.default_rng([seed, s]).multinomial(int(sizes.sum()), share, size=k)[:, b]
+            out.append(np.random.default_rng([seed, s, b + 1]).multinomial(mine, own) @ v)
+        return pa.table({"k": pa.array(np.arange(draws)), "s": pa.array(np.concatenate(out))})
+
+    sums = dealt.groupBy("b").applyInArrow(drawn, "k long, s double").groupBy("k").agg((F.sum("s") / float(sizes.sum())).alias("m"))
+    return sums.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
+
+
+def signed_rank_p(w: float, m: int) -> float:
+    """Two-sided p of the smaller rank sum ``w`` of ``m`` pairs without ties: how many of the 2**m choices of signs give no more, counted by sums."""
+    ways = [1]
+    for rank in range(1, m + 1):
+        wider = ways + [0] * rank
+        for k, n in enumerate(ways):
+            wider[k + rank] += n
+        ways = wider
+    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**m)
+
+
+def correlation_p(rows: DataFrame, r: str, n: str, controls: int = 0, name: str = "p") -> DataFrame:
+    """Adds the two-sided p of correlations of ``n`` rows with so many controls taken out, by Student's t."""
+
+    @F.pandas_udf("double")
+    def p(r, n):
+        out = []
+        for x, m in zip(r, n, strict=True):
+            df = m - 2 - controls
+            out.append(None if x != x or df < 1 else 0.0 if abs(x) >= 1 else 2 * (1 - t_cdf(abs(x) * (df / (1 - x * x)) ** 0.5, df)))
+        return r.__class__(out, dtype="float64")
+
+    return rows.withColumn(name, p(F.col(r), F.col(n)))
