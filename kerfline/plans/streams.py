@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kerfline.operators import history
 from kerfline.plans import views
 from kerfline.plans.catalog import query
 from kerfline.streaming import pipeline
@@ -38,3 +39,15 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS stop, count(*) AS
 def session_windows(spark, sf_dir):
     out = pipeline.sessions(_events(spark, sf_dir), "3 hours", "1 hour", "user_id")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "peak")
+
+
+@query("run_history", """
+WITH r AS (SELECT user_id AS run_id, event_id AS seq, event_type AS status, CAST(json_extract(props, '$.k') AS INTEGER) AS k, value, ts FROM events)
+SELECT run_id, arg_max(status, seq) AS status, arg_max(k, seq) AS k, round(arg_max(value, seq), 4) AS value, count(*) AS n_events FROM r GROUP BY run_id
+""")
+def run_history(spark, sf_dir):
+    """The last event of each user as the state of a run, its report read out of the semi-structured column."""
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.expr("try_parse_json(props)").alias("body"), "value")
+    log = history.fields(e, {"k": ("$.k", "int"), "absent": ("$.report.mae", "double")}, "run_id", "seq", "status", "value")
+    out = history.states(log, "status", "k", "value", "absent")
+    return out.where("absent IS NULL").select("run_id", "status", "k", F.round("value", 4).alias("value"), "n_events")
