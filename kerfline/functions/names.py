@@ -11,9 +11,6 @@ DEPTH = r"(?i)depth([0-9]+(?:[.,][0-9]+)?)"
 DEPTH_SPACED = r"(?i)depth\s*([0-9]+(?:[.,][0-9]+)?)"
 STEP = r"(?i)__step([0-9]+)__"
 HOLES = (r"(?i)hole_([A-Z]\d+)", r"(?i)__([A-Z]\d+)__", r"(?i)\b([A-Z]\d+)\b")
-TOKEN = r"(?:(?!__).)*+"
-#: Of the tokens between double underscores, what follows ``step`` in the first that begins so, and the token after it with its underscores.
-STEP_TOKEN = rf"(?is)^(?:{TOKEN}__)*?step({TOKEN})(__{TOKEN})?"
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -59,20 +56,24 @@ def file_name(stem: Column, segment: Column, step: Column, hole: Column, depth:
 
 def fusion_key(name: Column) -> Column:
     """``step=007__hole=B2`` from the first token with ``step`` and the one after it; degraded forms where a part is missing."""
-    n = F.regexp_extract(name, STEP_TOKEN, 1).try_cast("int")
-    place = F.regexp_extract(name, STEP_TOKEN, 2)
-    shown, spot = F.concat(F.lit("step="), padded(n)), F.when(place != "", F.concat(F.lit("hole="), F.substring(place, 3, 1 << 20)))
-    return F.when(n.isNull() & (place == ""), name).otherwise(F.concat_ws("__", shown, spot))
+    tokens = F.split(name, "__", -1)
+    at = F.array_position(F.transform(tokens, lambda t: F.lower(F.substring(t, 1, 4)) == "step"), F.lit(True)).cast("int")
+    n = F.substring(F.get(tokens, at - 1), 5, 1 << 20).try_cast("int")
+    place = F.when(at > 0, F.get(tokens, at))
+    shown, spot = F.concat(F.lit("step="), padded(n)), F.concat(F.lit("hole="), place)
+    return F.when(n.isNull() & place.isNull(), name).otherwise(F.concat_ws("__", shown, spot))
 
 
 def long_keys(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """``key_long``: the rank of the run before the fusion key, repeats numbered in row order."""
+    """``key_long``: the rank of the run before the fusion key, repeats numbered in row order, also where one key has a large share of all rows."""
+    from kerfline.operators.windows import numbered
+
     # Runs are ranked over their distinct names, not over all rows; the ranks' side is as large as there are runs, so Spark chooses the join.
     runs = rows.select(root(F.col(name)).alias("_run")).distinct().withColumn("_rank", F.dense_rank().over(W.orderBy("_run")))
     keyed = rows.withColumn("_run", root(F.col(name))).join(runs, "_run").withColumn("_key", F.concat(F.lit("run="), padded(F.col("_rank")), F.lit("__"), fusion_key(F.col(name))))
-    nth = F.row_number().over(W.partitionBy("_key").orderBy(order))
+    nth = numbered(keyed, "_key", order, "_n")
     key = F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("__occ"), padded(F.col("_n"))))
-    return keyed.withColumn("_n", nth).withColumn("key_long", key).drop("_run", "_rank", "_key", "_n")
+    return nth.withColumn("key_long", key).drop("_run", "_rank", "_key", "_n")
 
 
 def snapped(x: Column, step: float) -> Column:
