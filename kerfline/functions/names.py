@@ -42,7 +42,7 @@ def step(name: Column) -> Column:
 
 
 def root(name: Column) -> Column:
-    return F.split_part(name, F.lit("__seg"), F.lit(1))
+    return F.substring_index(name, "__seg", 1)
 
 
 def hole(name: Column) -> Column:
@@ -56,10 +56,16 @@ def file_name(stem: Column, segment: Column, step: Column, hole: Column, depth:
 
 def fusion_key(name: Column) -> Column:
     """``step=007__hole=B2`` from the first token with ``step`` and the one after it; degraded forms where a part is missing."""
+    # Where no three underscores meet and all is ASCII, the first token that begins so is where ``__step`` is first found; other names are split into their tokens.
+    plain = ~F.contains(name, F.lit("___")) & (F.length(name) == F.octet_length(name))
+    begin = F.instr(F.concat(F.lit("__"), F.lower(name)), "__step")
+    rest = F.substr(name, begin + 4)
+    more = F.substr(rest, F.instr(rest, "__") + 2)
     tokens = F.split(name, "__", -1)
     at = F.array_position(F.transform(tokens, lambda t: F.lower(F.substring(t, 1, 4)) == "step"), F.lit(True)).cast("int")
-    n = F.substring(F.get(tokens, at - 1), 5, 1 << 20).try_cast("int")
-    place = F.when(at > 0, F.get(tokens, at))
+    number = F.when(plain, F.when(begin > 0, F.substring_index(rest, "__", 1))).otherwise(F.substring(F.get(tokens, at - 1), 5, 1 << 20))
+    place = F.when(plain, F.when((begin > 0) & (F.instr(rest, "__") > 0), F.substring_index(more, "__", 1))).otherwise(F.when(at > 0, F.get(tokens, at)))
+    n = number.try_cast("int")
     shown, spot = F.concat(F.lit("step="), padded(n)), F.concat(F.lit("hole="), place)
     return F.when(n.isNull() & place.isNull(), name).otherwise(F.concat_ws("__", shown, spot))
 
@@ -69,11 +75,11 @@ def long_keys(rows: DataFrame, name: str, order: str) -> DataFrame:
     from kerfline.operators.windows import numbered
 
     # Runs are ranked over their distinct names, not over all rows; the ranks' side is as large as there are runs, so Spark chooses the join.
+    keyed = rows.withColumns({"_run": root(F.col(name)), "_key": fusion_key(F.col(name))})
     runs = rows.select(root(F.col(name)).alias("_run")).distinct().withColumn("_rank", F.dense_rank().over(W.orderBy("_run")))
-    keyed = rows.withColumn("_run", root(F.col(name))).join(runs, "_run").withColumn("_key", F.concat(F.lit("run="), padded(F.col("_rank")), F.lit("__"), fusion_key(F.col(name))))
-    nth = numbered(keyed, "_key", order, "_n")
-    key = F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("__occ"), padded(F.col("_n"))))
-    return nth.withColumn("key_long", key).drop("_run", "_rank", "_key", "_n")
+    placed = numbered(keyed.withColumn("_both", F.concat_ws("\n", "_run", "_key")), "_both", order, "_n").join(runs, "_run")
+    key = F.concat(F.lit("run="), padded(F.col("_rank")), F.lit("__"), F.col("_key"))
+    return placed.withColumn("key_long", F.when(F.col("_n") == 1, key).otherwise(F.concat(key, F.lit("__occ"), padded(F.col("_n"))))).drop("_run", "_rank", "_key", "_both", "_n")
 
 
 def snapped(x: Column, step: float) -> Column:

@@ -112,27 +112,11 @@ def average_ranks(rows: DataFrame, value: str, by: str, buckets: int = 64) -> Da
     return dealt.withColumn("_in", inside).join(before, [by, "_b"]).select(by, value, (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
-def with_rank(rows: DataFrame, value: str, by: str, name: str, buckets: int = 32) -> DataFrame:
-    """Adds the rank of each row's value in its group, ties averaged, without a group's rows in one task.
-
-    Approximate quantiles cut a group; they decide only how the work is shared. A value that is itself a cut, as every one is that a large share of the rows have, makes a bucket of its own, where
-    all ranks are the same and nothing is ordered; between cuts lie about ``1 / buckets`` of the rows. A rank is the count of the buckets before and the rank in its bucket."""
-    cuts = rows.groupBy(by).agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).alias("_e"))
-    v = F.col(value)
-    dealt = rows.join(cuts, by).withColumn("_cut", F.array_contains("_e", v)).withColumn("_b", 2 * F.size(F.filter("_e", lambda e: e < v)) + F.col("_cut").cast("int")).drop("_e")
-    counts = dealt.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = dealt.join(before, [by, "_b"])
-    inside = W.partitionBy(by, "_b").orderBy(value)
-    open_ = placed.where(~F.col("_cut")).withColumn(name, F.col("_before") + (F.rank().over(inside) + F.count(F.lit(1)).over(inside.rangeBetween(W.unboundedPreceding, 0))) / 2)
-    same = placed.where("_cut").withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2)
-    return open_.unionByName(same).select(*rows.columns, name)
-
-
 def numbered(rows: DataFrame, by: str, order: str, name: str, buckets: int = 64) -> DataFrame:
     """Adds the number of each row within its group by a numeric ``order`` without repeats, from 1, however large the group: row numbers within stretches of the order, and the counts before."""
     cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_e"))
-    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.array_distinct("_e"), lambda e: e < F.col(order)))).drop("_e")  # one row of cuts
+    below = sum(((F.col("_e")[i] < F.col(order)).cast("int") for i in range(1, buckets - 1)), (F.col("_e")[0] < F.col(order)).cast("int"))
+    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("_b", below).drop("_e")  # one row of cuts
     counts = dealt.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = dealt.withColumn("_own", F.row_number().over(W.partitionBy(by, "_b").orderBy(order)))

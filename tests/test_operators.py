@@ -178,16 +178,15 @@ def test_recordings_are_probed_resampled_and_exported(spark, tmp_path):
     assert (out.n, len(x), sr, out.stem) == (1000, 1000, 2000, "one")
 
 
-def test_ranks_of_heavy_and_of_spread_values(spark):
-    from kerfline.operators import windows
-
-    rng = np.random.default_rng(12)
-    data = {"heavy": np.where(rng.random(900) < 0.6, 3.0, rng.normal(3, 1, 900)), "few": rng.integers(0, 3, 900).astype(float), "spread": rng.normal(size=900), "flat": np.ones(5)}
-    rows = spark.createDataFrame([(g, i, float(v)) for g, x in data.items() for i, v in enumerate(x)], "g string, i long, v double").repartition(5)
-    got = {(r.g, r.i): r.rank for r in windows.with_rank(rows, "v", "g", "rank", 16).collect()}
-    assert len(got) == rows.count()
-    for g, x in data.items():
-        want = [(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x]
-        assert [got[g, i] for i in range(len(x))] == want
-    numbered = windows.numbered(rows.withColumn("o", F.col("i") * 3), "g", "o", "n", 8)
-    assert {(r.g, r.i): r.n for r in numbered.collect()} == {(g, i): i + 1 for g, x in data.items() for i in range(len(x))}
+def test_numbers_within_groups(spark):
+    sizes = {"large": 900, "small": 3, "one": 1}
+    rows = spark.createDataFrame([(g, 7 * i % (7 * n)) for g, n in sizes.items() for i in range(n)], "g string, o long").repartition(5)
+    got = windows.numbered(rows, "g", "o", "n", 8)
+    assert {(r.g, r.o): r.n for r in got.collect()} == {(g, 7 * i): i + 1 for g, n in sizes.items() for i in range(n)}
+
+
+def test_fusion_key_of_odd_names(spark):
+    odd = ["a___step003__B1", "a__Step7__", "step9", "x__stepNA__C2__depth1", "__step12__D4", "a__step__E1", "İ__step4__F5", "none", "a__step1__b__step2__c", ""]
+    slow = {"a___step003__B1": "a___step003__B1", "a__Step7__": "step=007__hole=", "step9": "step=009", "x__stepNA__C2__depth1": "hole=C2", "__step12__D4": "step=012__hole=D4", "a__step__E1": "hole=E1", "İ__step4__F5": "step=004__hole=F5", "none": "none", "a__step1__b__step2__c": "step=001__hole=b", "": ""}
+    got = {r.n: r.k for r in spark.createDataFrame([(n,) for n in odd], "n string").select("n", names.fusion_key(F.col("n")).alias("k")).collect()}
+    assert got == slow
