@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kerfline.functions import filters, scalograms as kernels
-from kerfline.operators import chunks, decimation, scalograms
+from kerfline.operators import chunks, decimation, inference, scalograms
 from kerfline.plans import views
 from kerfline.plans.catalog import query
 from kerfline.plans.fusion import rounded
@@ -80,3 +80,26 @@ def mel_pictures(spark, sf_dir):
     """The dashboard's picture of each embedding, taken as a signal of 8 kHz. Spectra, which SQL has no words for; tested against sums spelled out."""
     e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec"), F.col("embedding").alias("y"))
     return scalograms.pictures(e, "rec", "y", 8000.0, kernels.Picture(32, 24, 6, low=150, high=3500)).select("rec", "bands", "frames", "image", "error")
+
+
+WINDOW, HOP, FILTERS, TAPS = 16, 8, 3, 4
+
+
+def _network() -> inference.Convolutional:
+    f, k = np.arange(FILTERS)[:, None], np.arange(TAPS)[None]
+    return inference.Convolutional(((f + 2) * (k + 1) % 7 - 3) / 8.0, (np.arange(FILTERS)[:, None] + 1) / 4.0, np.array([-0.5]))
+
+
+@query("window_predictions", f"""
+WITH {views.SIGNALS}, n AS (SELECT rec, max(i) + 1 AS n FROM sig GROUP BY rec),
+w AS (SELECT rec, unnest(range(0, greatest(n - {WINDOW}, 0) + 1, {HOP})) AS start FROM n),
+t AS (SELECT rec, start, t, f, k FROM w, range({WINDOW - TAPS + 1}) a(t), range({FILTERS}) b(f), range({TAPS}) c(k)),
+c AS (SELECT t.rec, start, f, t, sum(coalesce(x, 0) * (((f + 2) * (k + 1)) % 7 - 3) / 8.0::DOUBLE) AS v FROM t LEFT JOIN sig ON sig.rec = t.rec AND sig.i = start + t + k GROUP BY ALL),
+p AS (SELECT rec, start, f, avg(greatest(v, 0)) AS h FROM c GROUP BY ALL), y AS (SELECT rec, start, sum(h * (f + 1) / 4.0::DOUBLE) - 0.5 AS y FROM p GROUP BY ALL)
+SELECT rec, count(*) AS n_windows, round(quantile_cont(y, 0.5), 4) AS y_pred FROM y GROUP BY rec
+""")
+def window_predictions(spark, sf_dir):
+    """A small convolutional network over windows of 16 samples, cut from chunks of 64; the median of each recording."""
+    s = chunks.cut(views.signals(spark, sf_dir).select("rec", "i", "x"), CHUNK)
+    out = inference.by_recording(inference.predict(inference.windows(s, WINDOW, HOP), _network()))
+    return out.select("rec", "n_windows", F.round("y_pred", 4).alias("y_pred"))
