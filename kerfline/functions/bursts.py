@@ -114,24 +114,24 @@ def joined(spans: Spans, t: np.ndarray, gap: float) -> Spans:
 
 
 def to_count(spans: Spans, d: np.ndarray, t: np.ndarray, n: int) -> Spans:
-    """Towards ``n`` spans: of too many the least (by duration and a little by height) go, of too few the longest are halved."""
+    """Towards ``n`` spans: of too many the least (by duration and a little by height) go, of too few some are halved, round by round.
+
+    In a round spans are taken by length, the longest first. One that can be halved is, as long as its place plus the number of those halved before it is at most what is missing; places count from 0."""
     size = lambda s: t[s[:, 1]] - t[s[:, 0]]
     if len(spans) > n:
         height = np.array([d[a : b + 1].max() for a, b in spans])
         return spans[np.sort(np.argsort(size(spans) + 0.15 * (height - np.median(height)))[len(spans) - n :])]
-    if 0 < len(spans) < n:
-        typical = float(np.median(size(spans)))
-        dt = float(np.median(np.diff(t)))
-        apart = max(1, round(max(0.10, 0.25 * (typical if typical > 0 else 0.5)) / dt))
-        floor = float(np.percentile(d, 35))
-        while len(spans) < n:
-            made: list[tuple[int, int]] = []
-            for s in spans[np.argsort(-size(spans), kind="stable")]:
-                parts = halved(d, s, floor, apart)
-                made += parts if len(parts) == 2 and len(made) + len(spans) - 1 < n else [(int(s[0]), int(s[1]))]
-            if len(made) == len(spans):
-                break
-            spans = np.array(sorted(made), int)
+    if len(spans) in (0, n):
+        return spans
+    typical = float(np.median(size(spans))) or 0.5
+    apart = max(1, round(max(0.10, 0.25 * max(typical, 0.0)) / float(np.median(np.diff(t)))))
+    floor, moved = float(np.percentile(d, 35)), True
+    while moved and len(spans) < n:
+        cuts = [halved(d, s, floor, apart) for s in spans[np.argsort(-size(spans), kind="stable")]]
+        able = np.flatnonzero([len(c) == 2 for c in cuts])
+        chosen = set(able[able + np.arange(len(able)) <= n - len(spans)].tolist())
+        whole = [(c[0][0], c[-1][1]) for c in cuts]
+        spans, moved = np.array(sorted(p for k, c in enumerate(cuts) for p in (c if k in chosen else whole[k : k + 1])), int), bool(chosen)
     return spans
 
 

@@ -31,26 +31,42 @@ def merged(base: dict[str, Any], *over: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def flat(settings: dict[str, Any], before: str = "") -> dict[str, Any]:
+    """Every value, tables among them, under its dotted name."""
+    out: dict[str, Any] = {}
+    for k, v in settings.items():
+        out[before + str(k)] = v
+        if isinstance(v, dict):
+            out |= flat(v, f"{before}{k}.")
+    return out
+
+
 def read(settings: dict[str, Any], name: str, default: Any = None) -> Any:
-    """The value at ``a.b.c``; the default where any part is missing."""
-    at: Any = settings
-    for part in name.split("."):
-        if not isinstance(at, dict) or part not in at:
-            return default
-        at = at[part]
-    return at
+    """The value of that dotted name; the default where there is none."""
+    return flat(settings).get(name, default)
 
 
-def with_values(settings: dict[str, Any], assignments: list[str]) -> dict[str, Any]:
-    """Settings with ``a.b=value`` put in; values are read as JSON where they can be, else as text."""
-    for assignment in assignments:
-        name, sign, text = assignment.partition("=")
-        if not sign:
-            raise ValueError(f"no value in {assignment!r}")
+# Words that stand for values, in any case.
+WORDS = {"true": True, "yes": True, "false": False, "no": False, "null": None, "none": None, "~": None}
+
+
+def value_of(text: str) -> Any:
+    """A word's value, a number, what JSON makes of it, or the text itself."""
+    if text.strip().lower() in WORDS:
+        return WORDS[text.strip().lower()]
+    for form in (json.loads, float):
         try:
-            value = json.loads(text)
+            return form(text)
         except ValueError:
-            value = text
+            continue
+    return text
+
+
+def with_values(settings: dict[str, Any], assignments: list[str]) -> dict[str, Any]:
+    """Settings with ``a.b=value`` put in, dashes before the name aside; a name alone is a flag that is set."""
+    for assignment in assignments:
+        name, sign, text = assignment.lstrip("-").partition("=")
+        value = value_of(text) if sign else True
         for part in reversed(name.strip().split(".")):
             value = {part: value}
         settings = merged(settings, value)

@@ -12,7 +12,7 @@ def folder(spark: SparkSession, label: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names. Where none is named, a temporary one if all runs on this machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kerfline-"))
         named = spark.sparkContext.getCheckpointDir()

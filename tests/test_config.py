@@ -1,7 +1,5 @@
 import json
 
-import pytest
-
 from kerfline.sources import config
 
 
@@ -13,8 +11,9 @@ def test_settings(spark, tmp_path):
     assert base["split"]["n"] == 3
     assert config.read(got, "split.pad") == 0.5 and config.read(got, "split.pad.more", 7) == 7 and config.read(got, "none") is None
     assert config.replayed("a.b", None, {"a": {}}, {"a": {"b": 2}}, {"a": {"b": 3}}) == 2 and config.replayed("q", {}, default="d") == "d"
-    with pytest.raises(ValueError, match="no value"):
-        config.with_values({}, ["a.b"])
+    got = config.with_values({}, ["--a.b", "--c=No", "d=none", "e=1e-4", "f=.5", "g=~", "h=TRUE", "i=[1, 2]", "j=12", "k=1=2"])
+    assert got == {"a": {"b": True}, "c": False, "d": None, "e": 1e-4, "f": 0.5, "g": None, "h": True, "i": [1, 2], "j": 12, "k": "1=2"}
+    assert config.flat({"a": {"b": 1}}) == {"a": {"b": 1}, "a.b": 1}
 
 
 def test_extractor_by_columns():
