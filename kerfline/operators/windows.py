@@ -98,18 +98,27 @@ def average_rank(x: str, by: tuple[str, ...] = ()) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*by, x)) - 1) / 2
 
 
-def average_ranks(rows: DataFrame, value: str, by: str, buckets: int = 64) -> DataFrame:
-    """``by, value, rank`` for each distinct value: ranks with ties averaged, found without a group's rows in one task.
+def _dealt(counts: DataFrame, value: str, by: str, buckets: int) -> DataFrame:
+    """``by, value, _n`` with the bucket ``_b`` of each value and the count ``_below`` of all lesser ones.
 
-    Values are counted first. Counts are cut into buckets at approximate quantiles, which decide only how the work is shared; a rank is the count of
-    the buckets before, of the values before in the bucket, and half of its own."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    Buckets are cut at approximate quantiles, which decide only how the work is shared; a count is that of the buckets before and of the values before in the bucket."""
     edges = counts.groupBy(by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
     dealt = counts.join(edges, by).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
     before = dealt.groupBy(by, "_b").agg(F.sum("_n").alias("_t"))
     before = before.select(by, "_b", F.coalesce(F.sum("_t").over(W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("_n").over(W.partitionBy(by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_in", inside).join(before, [by, "_b"]).select(by, value, (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias("rank"))
+    return dealt.withColumn("_in", inside).join(before, [by, "_b"]).withColumn("_below", F.col("_before") + F.col("_in")).drop("_before", "_in")
+
+
+def counted_ranks(counts: DataFrame, value: str, by: str, buckets: int = 64) -> DataFrame:
+    """``by, value, n, rank`` from ``by, value, _n``: ranks with ties averaged of values that are counted."""
+    return _dealt(counts, value, by, buckets).select(by, value, F.col("_n").alias("n"), (F.col("_below") + (F.col("_n") + 1) / 2).alias("rank"))
+
+
+def average_ranks(rows: DataFrame, value: str, by: str, buckets: int = 64) -> DataFrame:
+    """``by, value, rank`` for each distinct value: ranks with ties averaged, found without a group's rows in one task. Values are counted first."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted_ranks(counts, value, by, buckets).drop("n")
 
 
 def numbered(rows: DataFrame, by: str, order: str, name: str, buckets: int = 64) -> DataFrame:
@@ -123,12 +132,19 @@ def numbered(rows: DataFrame, by: str, order: str, name: str, buckets: int = 64)
     return own.join(before, [by, "_b"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).select(*rows.columns, name)
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``q``: the least ``p * n / rank`` from here upward, at most 1."""
-    group = W.partitionBy(*by)
-    # equal p share the value of their last rank
-    last = tests.withColumn("_raw", F.col(p) * F.count(F.lit(1)).over(group) / F.count(F.lit(1)).over(group.orderBy(p).rangeBetween(W.unboundedPreceding, 0)))
-    return last.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(group.orderBy(p).rangeBetween(0, W.unboundedFollowing)))).drop("_raw")
+def benjamini_hochberg(tests: DataFrame, p: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Adds ``q``: the least ``p * n / rank`` from here upward, at most 1. Equal p share the value of their last rank; tests without p count in n and come last.
+
+    Found over the distinct p of a group in buckets: the least within the bucket upward, and the least of the buckets above. No group is in one task."""
+    keyed = tests.withColumns({"_g": F.struct(*by) if by else F.lit(0), "_p": F.col(p).cast("double")})
+    counts = keyed.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.groupBy("_g").agg(F.sum("_n").alias("_total"))
+    raw = _dealt(counts.where("_p IS NOT NULL"), "_p", "_g", buckets).join(total, "_g").withColumn("_raw", F.col("_p") * F.col("_total") / (F.col("_below") + F.col("_n")))
+    least = raw.groupBy("_g", "_b").agg(F.min("_raw").alias("_least"))
+    above = least.select("_g", "_b", F.min("_least").over(W.partitionBy("_g").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)).alias("_above"))
+    upward = F.min("_raw").over(W.partitionBy("_g", "_b").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0))
+    q = raw.withColumn("_up", upward).join(above, ["_g", "_b"]).select("_g", "_p", F.least("_up", "_above").alias("_q"))
+    return keyed.join(q, ["_g", "_p"], "left").select(*tests.columns, F.least(F.lit(1.0), "_q").alias("q"))
 
 
 def autocorrelation(lag: int, x: str = "x") -> list[Column]:
