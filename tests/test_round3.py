@@ -38,3 +38,10 @@ def test_runs_of_four_digits_are_shown_as_sql_does(spark, tmp_path):
     events = spark.createDataFrame([(i, 1000 + i % 2, float(10 + i)) for i in range(8)], "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
     events.write.parquet(f"{tmp_path}/events.parquet")
     assert [(r.run, r.part, r.n) for r in plan.recorded_levels(spark, str(tmp_path)).collect()] == [("run100", 0, 400)] * 2
+
+
+def test_variance_of_a_constant_in_parts_is_none(spark):
+    rows = spark.range(49 * 7, numPartitions=7).select((F.col("id") % 7).alias("run"), F.lit("c").alias("feature"), F.lit(1.5).alias("value")).repartition(7, "run").union(
+        spark.range(20).select((F.col("id") % 7).alias("run"), F.lit("c"), F.lit(1.5)))
+    (r,) = selection.variance_split(rows, "run").collect()
+    assert (r.within, r.between, r.ratio) == (0.0, 0.0, None)
