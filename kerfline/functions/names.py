@@ -19,8 +19,9 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def slug(text: Column) -> Column:
+    # Empty ones are replaced by a pattern too, so that the text is written into the expression once.
     squeezed = F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9._-]+", "_"), "_+", "_")
-    return F.coalesce(F.nullif(F.btrim(squeezed, F.lit("_")), F.lit("")), F.lit("NA"))
+    return F.coalesce(F.regexp_replace(F.btrim(squeezed, F.lit("_")), "^$", "NA"), F.lit("NA"))
 
 
 def number_in_name(x: Column, digits: int = 3) -> Column:
@@ -46,7 +47,9 @@ def root(name: Column) -> Column:
 
 
 def hole(name: Column) -> Column:
-    return F.upper(F.coalesce(*(found(name, p) for p in HOLES)))
+    # The name is bound to a variable: written into every pattern twice, an expression that makes names is evaluated as often in each filter on the hole.
+    tried = lambda n: F.filter(F.array(*(F.regexp_extract(n, p, 1) for p in HOLES)), lambda h: h != "")
+    return F.upper(F.get(F.get(F.transform(F.array(name), tried), 0), 0))
 
 
 def file_name(stem: Column, segment: Column, step: Column, hole: Column, depth: Column, suffix: str) -> Column:

@@ -45,3 +45,14 @@ def test_variance_of_a_constant_in_parts_is_none(spark):
         spark.range(20).select((F.col("id") % 7).alias("run"), F.lit("c"), F.lit(1.5)))
     (r,) = selection.variance_split(rows, "run").collect()
     assert (r.within, r.between, r.ratio) == (0.0, 0.0, None)
+
+
+def test_hole_names_its_text_once(spark):
+    made = F.concat(F.lit("run__"), F.col("id").cast("string"), F.lit("__B"), F.col("id").cast("string"), F.lit("__"))
+    plan = spark.range(9).select(made.alias("n")).select(names.hole(F.col("n")).alias("h")).where("h IS NOT NULL")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("run__") <= 2
+    assert [r.h for r in plan.collect()] == [f"B{i}" for i in range(9)]
+    texts = ["hole_c7__A1__", "x__d2__", "an E3 b", "none", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, n string").withColumn("h", names.hole(F.col("n"))).orderBy("i").collect()
+    assert [r.h for r in got] == ["C7", "D2", "E3", None, None, None]
+    assert [r[0] for r in spark.createDataFrame([("a//b",), ("__",), ("",), (None,)], "t string").select(names.slug(F.col("t"))).collect()] == ["a_b", "NA", "NA", "NA"]
