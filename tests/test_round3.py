@@ -56,3 +56,42 @@ def test_hole_names_its_text_once(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, n string").withColumn("h", names.hole(F.col("n"))).orderBy("i").collect()
     assert [r.h for r in got] == ["C7", "D2", "E3", None, None, None]
     assert [r[0] for r in spark.createDataFrame([("a//b",), ("__",), ("",), (None,)], "t string").select(names.slug(F.col("t"))).collect()] == ["a_b", "NA", "NA", "NA"]
+
+
+def ranks(v):
+    order = np.sort(v)
+    return (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2
+
+
+def test_rank_correlations_join_counts_not_rows(spark):
+    rng = np.random.default_rng(2)
+    n = 4000
+    x, y, z = rng.integers(0, 5, n).astype(float), np.round(rng.random(n), 2), rng.integers(0, 9, n).astype(float)
+    y, z = np.round(y + 0.1 * x, 2), z + x
+    gap = rng.random(n) < 0.1
+    rows = [("f", None if g else float(a), float(b), float(c)) for a, b, c, g in zip(x, y, z, gap, strict=True)]
+    long = spark.createDataFrame(rows, "feature string, value double, target double, held double")
+    rx, ry, rz = (ranks(v[~gap]) for v in (x, y, z))
+    assert selection.spearman(long, "target").first().r == pytest.approx(np.corrcoef(rx, ry)[0, 1], abs=1e-12)
+    for intercept in (True, False):
+        base = np.stack([rz, np.ones(len(rz))], 1) if intercept else rz[:, None]
+        rest = lambda v, base=base: v - base @ np.linalg.lstsq(base, v, rcond=None)[0]
+        got = selection.partial_spearman(long, "target", "held", intercept).first()
+        assert (got.n, got.r) == (len(rx), pytest.approx(np.corrcoef(rest(rx), rest(ry))[0, 1], abs=1e-9))
+    flat = long.withColumn("value", F.lit(1.0))
+    assert selection.spearman(flat, "target").first().r is None
+    # A row is counted before anything is joined: rows reach no join as they are.
+    joined = selection.spearman(long.repartition(2), "target")
+    joined.collect()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "_k" in plan
+
+
+def test_signed_ranks_by_counts(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, 500) / 10, rng.integers(0, 9, 500) / 10
+    got = training.paired_tests(spark.createDataFrame([(1, float(i), float(j)) for i, j in zip(a, b, strict=True)], "g int, a double, b double"), "a", "b", 0.1, "g").first()
+    d = np.round(a - b, 12)
+    d = d[d != 0]
+    r = ranks(np.abs(d))
+    assert got.w == pytest.approx(min(r[d > 0].sum(), r[d < 0].sum()))
