@@ -63,12 +63,14 @@ def read_wav(content: bytes) -> tuple[np.ndarray, int]:
 
 
 def write_wav(x: np.ndarray, sr: int) -> bytes:
+    """Floats with 16 bits, clipped to [-1, 1]; whole numbers of 2 or 4 bytes as they are."""
+    x = x.astype(f"<i{x.dtype.itemsize}") if x.dtype.kind == "i" else (np.clip(x, -1, 1) * 32767).astype("<i2")
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
-        w.setsampwidth(2)
+        w.setsampwidth(x.dtype.itemsize)
         w.setframerate(sr)
-        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+        w.writeframes(x.tobytes())
     return out.getvalue()
 
 
