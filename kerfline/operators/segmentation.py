@@ -123,10 +123,11 @@ def detected(envelope: DataFrame, expected: DataFrame, before: float = 0.20, aft
 
 def segmented(chunks: DataFrame, expected: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
     """Bursts of each recording in the first of the bands whose count is nearest to the one expected; with how many were found and whether that matches."""
-    each = detected(envelopes(chunks, bands), expected)
-    tried = each.groupBy("rec", F.col("band").alias("attempt")).agg(F.count(F.lit(1)).alias("found")).join(expected, "rec")
-    best = best_band(tried, "expected").select("rec", F.col("attempt").alias("band"), "found", (F.col("found") == F.col("expected")).alias("matched"))
-    return each.join(best, ["rec", "band"])
+    each = detected(envelopes(chunks, bands), expected).join(expected.select("rec", "expected"), "rec")
+    # Counted and chosen beside the bursts, which are found once.
+    tried = each.withColumn("found", F.count(F.lit(1)).over(W.partitionBy("rec", "band"))).withColumn("_off", F.struct(F.abs(F.col("found") - F.col("expected")), "band"))
+    best = tried.withColumn("_best", F.min("_off").over(W.partitionBy("rec"))).where(F.col("_off") == F.col("_best"))
+    return best.withColumn("matched", F.col("found") == F.col("expected")).drop("expected", "_off", "_best")
 
 
 def manifest(segments: DataFrame, doe: DataFrame, recordings: DataFrame, suffix: str = ".wav") -> DataFrame:

@@ -95,3 +95,22 @@ def test_signed_ranks_by_counts(spark):
     d = d[d != 0]
     r = ranks(np.abs(d))
     assert got.w == pytest.approx(min(r[d > 0].sum(), r[d < 0].sum()))
+
+
+def test_amplitudes_beyond_full_scale_are_kept(spark, tmp_path):
+    from kerfline.plans import recordings as plan
+
+    events = spark.createDataFrame([(i, 7, 560.2) for i in range(3)], "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    (r,) = plan.recorded_levels(spark, str(tmp_path)).collect()
+    assert (r.run, r.peak, r.rms, r.level) == ("run007", *[round(33612 / 32768, 6)] * 3)
+
+
+def test_running_quantile_takes_all_frames_at_once(monkeypatch):
+    from kerfline.functions import bursts
+
+    x = np.random.default_rng(4).normal(size=(300, 41))
+    x[:20, 30:] = np.nan
+    assert np.array_equal(bursts.quantiles(x, 0.1), np.nanquantile(x, 0.1, axis=1)) and np.array_equal(bursts.quantiles(x, 0.63), np.nanquantile(x, 0.63, axis=1))
+    monkeypatch.setattr(np, "nanquantile", lambda *a, **k: pytest.fail("one frame after another"))
+    bursts.running_quantile(x[50], 0.1, 9)
