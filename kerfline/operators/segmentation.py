@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -68,25 +69,30 @@ def sample_span(start, stop, sr, n):
     return bound(start), bound(stop)
 
 
-def envelopes(chunks: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
-    """``rec, start, y, sr`` to ``rec, band, t, db``: the envelope of each band (numbered from 1), chunk by chunk.
+def packed_envelopes(chunks: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
+    """``rec, start, y, sr`` to ``rec, band, t, db``, arrays, a row a chunk and band (numbered from 1).
 
     ``start`` is the chunk's first sample in the recording, a multiple of the hop, and chunks overlap by a frame less a hop, so that every frame is
     whole in exactly one chunk (see ``stretches``). No recording is ever one value."""
-    schema = f"rec {chunks.schema['rec'].dataType.simpleString()}, band int, t double, db double"
+    schema = f"rec {chunks.schema['rec'].dataType.simpleString()}, band int, t array<double>, db array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for i in range(batch.num_rows):
                 y, sr = np.asarray(batch.column(2)[i].values, float), batch.column(3)[i].as_py()
-                for k, (low, high) in enumerate(bands, 1):
-                    t, db = bursts.band_envelope(y, sr, low, high, first=batch.column(1)[i].as_py())
-                    rec = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(t), int)))
-                    yield pa.RecordBatch.from_arrays([rec, pa.array(np.full(len(t), k, "i4")), pa.array(t), pa.array(db)], names=["rec", "band", "t", "db"])
+                found += [(i, k, *bursts.band_envelope(y, sr, low, high, first=batch.column(1)[i].as_py())) for k, (low, high) in enumerate(bands, 1)]
+            rec = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rec, pa.array([f[1] for f in found], pa.int32()), *(pa.array([f[j] for f in found], pa.list_(pa.float64())) for j in (2, 3))], names=["rec", "band", "t", "db"])
 
     return chunks.select("rec", F.col("start").cast("long"), "y", F.col("sr").cast("double")).mapInArrow(run, schema)
 
 
+def envelopes(chunks: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
+    """``rec, start, y, sr`` to ``rec, band, t, db``: the envelope of each band, chunk by chunk (see ``packed_envelopes``), a row a value."""
+    return packed_envelopes(chunks, bands).select("rec", "band", F.inline(F.arrays_zip("t", "db")))
+
+
 def stretches(y: np.ndarray, sr: float, seconds: float = 10.0, win_ms: float = 21.0, hop_ms: float = 5.0) -> list[tuple[int, np.ndarray]]:
     """A recording in chunks of about so many seconds as ``envelopes`` takes them: ``(start, samples)``."""
     length, hop = max(256, int(sr * win_ms / 1000)), max(1, int(sr * hop_ms / 1000))
@@ -99,7 +105,7 @@ FOUND = "seg int, core_start double, core_stop double, padded_start double, padd
 
 
 def detected(envelope: DataFrame, expected: DataFrame, before: float = 0.20, after: float = 0.25) -> DataFrame:
-    """Bursts of each recording and band: ``rec, band`` and FOUND, in seconds, from ``envelope(rec, band, t, db)`` and ``expected(rec, expected, duration)``.
+    """Bursts of each recording and band: ``rec, band`` and FOUND, in seconds, from ``envelope(rec, band, t, db)``, values or arrays of them, and ``expected(rec, expected, duration)``.
 
     An envelope has some hundred values a second, whatever the recording's sample rate; one recording's is searched in one task. A recording without an
     expected count fails. Cores are as detected, then padded within the recording, then moved to where the envelope is quiet."""
@@ -107,8 +113,9 @@ def detected(envelope: DataFrame, expected: DataFrame, before: float = 0.20, aft
     rec = envelope.schema["rec"].dataType.simpleString()
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("t").to_numpy(), kind="stable")
-        t, db = (table.column(c).to_numpy()[order] for c in ("t", "db"))
+        t, db = ((pc.list_flatten(v) if pa.types.is_list(v.type) else v).to_numpy() for v in (table.column("t"), table.column("db")))
+        order = np.argsort(t, kind="stable")
+        t, db = t[order], db[order]
         found = bursts.detect(t, db, table.column("expected")[0].as_py())
         core = found.seconds()
         wide = np.clip(core + [-before, after], 0, table.column("duration")[0].as_py())
@@ -123,7 +130,7 @@ def detected(envelope: DataFrame, expected: DataFrame, before: float = 0.20, aft
 
 def segmented(chunks: DataFrame, expected: DataFrame, bands: list[tuple[float, float]]) -> DataFrame:
     """Bursts of each recording in the first of the bands whose count is nearest to the one expected; with how many were found and whether that matches."""
-    each = detected(envelopes(chunks, bands), expected).join(expected.select("rec", "expected"), "rec")
+    each = detected(packed_envelopes(chunks, bands).where(F.size("t") > 0), expected).join(expected.select("rec", "expected"), "rec")
     # Counted and chosen beside the bursts, which are found once.
     tried = each.withColumn("found", F.count(F.lit(1)).over(W.partitionBy("rec", "band"))).withColumn("_off", F.struct(F.abs(F.col("found") - F.col("expected")), "band"))
     best = tried.withColumn("_best", F.min("_off").over(W.partitionBy("rec"))).where(F.col("_off") == F.col("_best"))

@@ -2,7 +2,7 @@
 
 ``spark.read.format("recordings").load(folder)`` gives ``path, kind, start, y, sr, n, error``: chunks of bounded length, mean over channels, with the number of the
 chunk's first sample and of all samples. Planning lists files and sizes only. A file of more than ``range_mb`` is cut into as many parts as its size asks for, small files
-share a partition; each part reads the header, then seeks to its own chunks, so that no task holds more than one chunk, however long a recording is.
+share a partition; each part reads the header, then seeks to its own chunks, so that no task holds more than one chunk, or short ones of ``TOGETHER`` samples, however long a recording is.
 
 Options: ``pattern`` (of file names), ``range_mb`` (64), ``seconds`` a chunk (10), and ``win_ms`` and ``hop_ms`` for chunks that overlap as
 ``operators.segmentation.envelopes`` takes them: each begins at a multiple of the hop and holds its last frame whole. Without them chunks follow one another.
@@ -146,6 +146,7 @@ class Parts(InputPartition):
 
 
 OPEN_COST = 1e6  # bytes that opening a file counts as
+TOGETHER = 1 << 12  # samples of short chunks that go to Spark together; longer ones go alone
 
 
 @dataclass(frozen=True)
@@ -216,8 +217,16 @@ class RecordingReader(DataSourceReader):
         return all({"gt": start > v, "ge": start >= v, "lt": start < v, "le": start <= v, "eq": start == v}[test] for test, v in self.starts)
 
     def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        held, samples = [], 0
         for part in partition.parts:
-            yield from self._read(part)
+            for batch in self._read(part):
+                held.append(batch)
+                samples += len(batch.column(3).values)
+                if samples >= TOGETHER:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, samples = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def _read(self, part: Part) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.int32(), pa.int64(), pa.string())

@@ -114,3 +114,15 @@ def test_running_quantile_takes_all_frames_at_once(monkeypatch):
     assert np.array_equal(bursts.quantiles(x, 0.1), np.nanquantile(x, 0.1, axis=1)) and np.array_equal(bursts.quantiles(x, 0.63), np.nanquantile(x, 0.63, axis=1))
     monkeypatch.setattr(np, "nanquantile", lambda *a, **k: pytest.fail("one frame after another"))
     bursts.running_quantile(x[50], 0.1, 9)
+
+
+def test_envelopes_travel_as_arrays(spark):
+    from kerfline.operators import segmentation
+
+    y = np.sin(np.arange(4000)) * np.repeat(np.random.default_rng(5).random(40), 100)
+    chunks = spark.createDataFrame([("a", s, c.tolist(), 2000) for s, c in segmentation.stretches(y, 2000, 0.5)], "rec string, start long, y array<double>, sr int")
+    expected = spark.createDataFrame([("a", 3, 2.0)], "rec string, expected int, duration double")
+    packed = segmentation.packed_envelopes(chunks, [(100, 900)])
+    assert packed.count() == chunks.count()
+    rows = segmentation.envelopes(chunks, [(100, 900)])
+    assert sorted(segmentation.detected(packed, expected).collect()) == sorted(segmentation.detected(rows, expected).collect())
