@@ -39,17 +39,26 @@ FAMILIES: dict[str, Callable] = {
 }
 
 
+ROWS = 128  # records that go through the kernels as one matrix
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS`` rows: kernels hold many copies of their matrix, and Spark's batches may have ten thousand rows."""
+    for batch in batches:
+        yield from (batch.slice(s, ROWS) for s in range(0, batch.num_rows, ROWS))
+
+
 def extract(signals: DataFrame, key: str, y: str, sr: float, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
     """``key, features map<string,double>, error string``: a record that fails says why instead of going missing.
 
-    Records of one length in a batch go through the kernels as one matrix. Values that are not finite are left out of the map."""
+    Records of one length in a piece of a batch go through the kernels as one matrix. Values that are not finite are left out of the map."""
     unknown = set(families) - set(FAMILIES)
     if unknown:
         raise ValueError(f"unknown families: {sorted(unknown)}")
     schema = f"{key} {signals.schema[key].dataType.simpleString()}, features map<string,double>, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [np.array(v.as_py() if v.is_valid else [], dtype=float) for v in batch.column(1)]
             found: list = [None] * len(rows)
             errors: list = [None] * len(rows)

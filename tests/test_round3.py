@@ -116,6 +116,20 @@ def test_running_quantile_takes_all_frames_at_once(monkeypatch):
     bursts.running_quantile(x[50], 0.1, 9)
 
 
+def test_kernels_take_pieces_of_batches(spark):
+    import pyarrow as pa
+
+    from kerfline.operators import features
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000))})
+    cut = list(features.pieces(iter([batch])))
+    assert max(b.num_rows for b in cut) <= features.ROWS and sum(b.num_rows for b in cut) == 1000
+    rows = spark.range(300, numPartitions=1).select("id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.sin(i * (F.col("id") + 1))).alias("y"))
+    got = features.extract(rows, "id", "y", 64.0, ("time", "hjorth")).collect()
+    (one,) = features.extract(rows.where("id = 299"), "id", "y", 64.0, ("time", "hjorth")).collect()
+    assert len(got) == 300 and {r.id: r.features for r in got}[299] == one.features
+
+
 def test_envelopes_travel_as_arrays(spark):
     from kerfline.operators import segmentation
 
