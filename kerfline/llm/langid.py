@@ -8,7 +8,7 @@ bounded sample of labelled rows (``rows_per_lang`` documents a language, expecte
 Embedding and filters are linear, so for prediction they are multiplied out once into tables, one row a pair of
 bytes, and a convolution becomes a sum of table rows.
 
-Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; texts may be of any length, their windows are predicted a bounded number at a time; a language that no training row
+Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; texts may be of any length, their windows are predicted a bounded number at a time, and a batch's texts leave it ``PIECE`` rows at a time; a language that no training row
 has is never predicted; without any training row all texts are ``und``; ties go to the first language by name;
 repeated rows are predicted each for itself, and learned from once; ids may be null or come again; other columns, also ones named like the results, are not read.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
+PIECE = 256  # rows of a batch whose texts are copied out of it together
 LETTER = r"\p{L}"
 
 
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: ByteConv | None, keep: tuple[str, ...] = ("d
     tables = model.tables() if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(s, PIECE) for whole in batches for s in range(0, whole.num_rows, PIECE)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             raw = [t.encode() if model and t else b"" for t in texts]
             prob = np.zeros((len(raw), max(1, len(model.langs) if model else 1)), "f4")
