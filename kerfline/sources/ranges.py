@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import fnmatch
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -282,9 +282,9 @@ def centred(parts: DataFrame) -> DataFrame:
     return parts.join(mean, "path").withColumn("y", F.transform("y", lambda v: (v - F.col("_mean")).cast("float"))).drop("_mean")
 
 
-def saved(files: DataFrame, folder: str) -> DataFrame:
+def saved(files: DataFrame, folder: str, made: Callable | None = None) -> DataFrame:
     """Write ``files(name, content)`` each as a file of a folder, when the result ``name, path, size`` is read. A file appears whole, under its name, or
-    not at all; a task that runs again writes the same again."""
+    not at all; a task that runs again writes the same again. With ``made`` the content is what that makes of the value, as bytes, so that a task holds one file at a time."""
     import uuid
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def saved(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             sizes, paths = [], []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw, path = content.as_py(), f"{at.rstrip('/')}/{name}"
+                raw, path = content.as_py() if made is None else made(content), f"{at.rstrip('/')}/{name}"
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(part) as out:
